@@ -71,65 +71,72 @@ def unpivot_columns(df: DataFrame, columns: Sequence[str], kind: str) -> DataFra
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], buckets: int = 1024
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], detail: int = 1024
 ) -> DataFrame:
     """Exact linearly interpolated quantiles as rows ``(name, prob, value)``.
 
     Values are counted first (map-side combine, so a value held by a third of
-    the rows is one row afterwards), then counted into ``buckets`` equal-width
-    ranges. Only the ranges that hold a wanted rank are ordered. The window over
-    ranges sees at most ``buckets + 1`` rows per column, and the broadcast
-    tables have at most that many rows per column.
+    the rows is one row afterwards), then summed over logarithmic ranges,
+    ``detail`` per doubling. Only ranges that hold a wanted rank are ordered.
+    The number of ranges is bounded by the double format, not by the data, and
+    the broadcast table has at most two ranges per column and probability.
     """
+    magnitude = F.floor(F.log2(F.lit(1.0) + F.abs("v")) * F.lit(detail)).cast("int")
     counts = (
         unpivot_columns(df, columns, "double")
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
         .groupBy("name", "v")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("range", F.when(F.col("v") < 0, -magnitude).otherwise(magnitude))
     )
-    span = counts.groupBy("name").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")
-    )
-    share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    bucket = F.coalesce(F.floor(share * F.lit(buckets)), F.lit(0)).cast("int")
-    placed = counts.join(F.broadcast(span), "name").select(
-        "name", "v", "n", "total", bucket.alias("bucket")
-    )
-    running = Window.partitionBy("name").orderBy("bucket").rowsBetween(
+    per_name = Window.partitionBy("name")
+    running = per_name.orderBy("range").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    wanted = (
-        placed.groupBy("name", "bucket")
-        .agg(F.sum("n").alias("in_bucket"), F.max("total").alias("total"))
-        .withColumn("through", F.sum("in_bucket").over(running))
-        .withColumn("before", F.col("through") - F.col("in_bucket"))
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("at", (F.col("total") - 1) * F.col("prob"))
-        .withColumn("low_rank", F.floor("at"))
-        .withColumn("part", F.col("at") - F.col("low_rank"))
+    asked = F.transform(
+        F.array(*[F.lit(float(p)) for p in probs]),
+        lambda p: F.struct(p.alias("prob"), ((F.col("total") - 1) * p).alias("at")),
+    )
+    ranges = (
+        counts.groupBy("name", "range")
+        .agg(F.sum("n").alias("in_range"))
+        .withColumn("through", F.sum("in_range").over(running))
+        .withColumn("total", F.sum("in_range").over(per_name))
+        .withColumn("before", F.col("through") - F.col("in_range"))
         .withColumn(
-            "rank_no", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))
+            "asked",
+            F.filter(
+                asked,
+                lambda a: (F.ceil(a["at"]) >= F.col("before"))
+                & (F.floor(a["at"]) < F.col("through")),
+            ),
         )
-        .where((F.col("rank_no") >= F.col("before")) & (F.col("rank_no") < F.col("through")))
-        .select("name", "bucket", "before", "prob", "rank_no", "low_rank", "part")
+        .where(F.size("asked") > 0)
+        .select("name", "range", "before", "asked")
     )
-    needed = wanted.select("name", "bucket", "before").distinct()
-    inside = Window.partitionBy("name", "bucket").orderBy("v").rowsBetween(
+    inside = Window.partitionBy("name", "range").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    located = (
-        placed.join(F.broadcast(needed), ["name", "bucket"])
+    placed = (
+        counts.join(F.broadcast(ranges), ["name", "range"])
         .withColumn("to", F.sum("n").over(inside) + F.col("before"))
-        .withColumn("from", F.col("to") - F.col("n"))
-        .select("name", "bucket", "v", "from", "to")
+        .select("name", "v", (F.col("to") - F.col("n")).alias("from"), "to", F.inline("asked"))
     )
-    hits = located.join(F.broadcast(wanted.drop("before")), ["name", "bucket"]).where(
-        (F.col("rank_no") >= F.col("from")) & (F.col("rank_no") < F.col("to"))
+    held = lambda rank: (rank >= F.col("from")) & (rank < F.col("to"))
+    low, part = F.floor("at"), F.col("at") - F.floor("at")
+    weight = F.when(held(low), 1 - part).otherwise(0.0) + F.when(
+        held(low + 1), part
+    ).otherwise(0.0)
+    return (
+        placed.where(held(low) | held(low + 1))
+        .groupBy("name", "prob")
+        .agg(F.sum(F.col("v") * weight).alias("value"))
     )
-    weight = F.when(F.col("rank_no") == F.col("low_rank"), 1 - F.col("part")).otherwise(
-        F.col("part")
-    )
-    return hits.groupBy("name", "prob").agg(F.sum(F.col("v") * weight).alias("value"))
+
+
+def with_row(df: DataFrame, one: DataFrame, name: str) -> DataFrame:
+    """Attach the single value of a one-row table as a column (a scalar subquery)."""
+    return df.withColumn(name, one.scalar())
 
 
 def one_row(long: DataFrame, label: Column, names: Sequence[str], value: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tastemill.functions.columns import (
     coerce_double,
     parse_genres,
 )
-from tastemill.functions.ranking import exact_quantiles, one_row, unpivot_columns
+from tastemill.functions.ranking import exact_quantiles, one_row, unpivot_columns, with_row
 
 TEXT_COLUMNS = ("description", "plot", "overview")
 NUMERIC_COLUMNS = ("release_year", "duration_minutes", "imdb_rating")
@@ -73,10 +73,11 @@ def fill_missing(
     if text is None:
         text = [n for n, t in fields.items() if isinstance(t, T.StringType)]
     filled: dict[str, Column] = {}
+    out = df
     if numeric:
         medians = exact_quantiles(df, numeric, [0.5])
-        row = one_row(medians, F.col("name"), numeric, "value").scalar()
-        filled |= {n: F.coalesce(F.col(n).cast("double"), row[n]) for n in numeric}
+        out = with_row(out, one_row(medians, F.col("name"), numeric, "value"), "_median")
+        filled |= {n: F.coalesce(F.col(n).cast("double"), F.col("_median")[n]) for n in numeric}
     if text:
         gaps = df.agg(
             F.array_compact(
@@ -84,9 +85,9 @@ def fill_missing(
             ).alias("gaps")
         ).scalar()
         modes = most_frequent(df, text, only=gaps)
-        row = one_row(modes, F.col("name"), text, "value").scalar()
-        filled |= {n: F.coalesce(F.col(n), row[n], F.lit(UNKNOWN)) for n in text}
-    return df.withColumns(filled)
+        out = with_row(out, one_row(modes, F.col("name"), text, "value"), "_mode")
+        filled |= {n: F.coalesce(F.col(n), F.col("_mode")[n], F.lit(UNKNOWN)) for n in text}
+    return out.withColumns(filled).drop("_median", "_mode")
 
 
 def clean_metadata(
