@@ -121,14 +121,20 @@ def _block_dots(pdf: pd.DataFrame, symmetric: bool) -> pd.DataFrame:
     return pd.DataFrame({"id_a": first, "id_b": second, "dot": out["dot"].to_numpy()})
 
 
+def _tiles(df: DataFrame, tile_rows: int) -> Column:
+    """How many tiles of ``tile_rows`` a table needs (a scalar subquery)."""
+    return df.agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / tile_rows), F.lit(1)).cast("int")
+    ).scalar()
+
+
 def grid_top_k(
     left: DataFrame,
     right: DataFrame,
     k: int,
     exclude: DataFrame | None = None,
     tile_rows: int = 1024,
-    left_rows: int | None = None,
-    right_rows: int | None = None,
+    clip_to: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Exact ``k`` largest dot products per left vector: ``(id, other_id, score, rank)``.
 
@@ -140,24 +146,23 @@ def grid_top_k(
     the one group it belongs to). ``id == other_id`` is always left out when
     ``left is right``.
 
-    Scores are compared at nine decimals, ties by ``other_id``.
+    Scores are clipped to ``clip_to`` if given, then compared at nine decimals,
+    ties by ``other_id``.
     """
     same = left is right
-    n_left = left_rows if left_rows is not None else left.count()
-    n_right = n_left if same else (right_rows if right_rows is not None else right.count())
-    lt = max(1, -(-n_left // tile_rows))
-    rt = max(1, -(-n_right // tile_rows))
+    lt = _tiles(left, tile_rows)
+    rt = lt if same else _tiles(right, tile_rows)
     no_vec = F.lit(None).cast("array<double>")
     no_id = F.lit(None).cast("string")
     grid = (
         left.select(
             _block("id", lt).alias("ta"),
-            F.explode(F.sequence(F.lit(0), F.lit(rt - 1))).alias("tb"),
+            F.explode(F.sequence(F.lit(0), rt - 1)).alias("tb"),
             F.lit(0).alias("side"), "id", no_id.alias("other_id"), "vec",
         )
         .unionByName(
             right.select(
-                F.explode(F.sequence(F.lit(0), F.lit(lt - 1))).alias("ta"),
+                F.explode(F.sequence(F.lit(0), lt - 1)).alias("ta"),
                 _block("id", rt).alias("tb"),
                 F.lit(1).alias("side"), "id", no_id.alias("other_id"), "vec",
             )
@@ -171,14 +176,16 @@ def grid_top_k(
             )
         )
     best = grid.groupBy("ta", "tb").applyInPandas(
-        lambda pdf: _tile_top_k(pdf, k, same), "id string, other_id string, score double"
+        lambda pdf: _tile_top_k(pdf, k, same, clip_to), "id string, other_id string, score double"
     )
     from tastemill.functions.ranking import top_n
 
     return top_n(best, k, by="id", tie="other_id")
 
 
-def _tile_top_k(pdf: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
+def _tile_top_k(
+    pdf: pd.DataFrame, k: int, same: bool, clip_to: tuple[float, float] | None
+) -> pd.DataFrame:
     empty = pd.DataFrame({"id": [], "other_id": [], "score": []})
     lhs = pdf[pdf["side"] == 0]
     rhs = pdf[pdf["side"] == 1].sort_values("id")
@@ -186,6 +193,8 @@ def _tile_top_k(pdf: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
         return empty
     ids, others = lhs["id"].to_numpy(), rhs["id"].to_numpy()
     scores = np.stack(lhs["vec"].to_list()) @ np.stack(rhs["vec"].to_list()).T
+    if clip_to is not None:
+        scores = np.clip(scores, *clip_to)
     gone = pdf[pdf["side"] == 2]
     at_row, at_col = pd.Index(ids), pd.Index(others)
     if not gone.empty:
