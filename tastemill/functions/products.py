@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tastemill.functions.skew import spread_by
+
 
 def _block(c: str, n: int | Column) -> Column:
     return F.pmod(F.xxhash64(F.col(c)), F.lit(n) if isinstance(n, int) else n).cast("int")
@@ -21,6 +23,7 @@ def dot_products(
     degree_limit: int = 1000,
     tile_rows: int = 1024,
     block_keys: int = 1024,
+    largest: int | None = None,
 ) -> DataFrame:
     """``(id_a, id_b, dot)`` for every two rows that share a key; exact.
 
@@ -31,6 +34,8 @@ def dot_products(
     are cut into blocks (row tile x row tile x key block), multiplied as small
     matrices inside the tasks, and only the block sums leave the task. A block
     holds about ``tile_rows`` x ``block_keys`` cells whatever the table size.
+    ``largest``, the row count of the most frequent key if known, lets the block
+    branch be left out when no key is above the limit.
     """
     symmetric = right is None
     left = left.select(F.col(row).alias("id_a"), F.col(key).alias("k"), F.col(value).alias("x"))
@@ -39,16 +44,15 @@ def dot_products(
         if symmetric
         else right.select(F.col(row).alias("id_b"), F.col(key).alias("k"), F.col(value).alias("y"))
     )
+    if largest is not None and largest <= degree_limit:
+        return _joined_dots(left, right, symmetric)
     heavy = (
         right.groupBy("k")
         .agg(F.count(F.lit(1)).alias("degree"))
         .where(F.col("degree") > degree_limit)
         .select("k")
     )
-    light = left.join(right.join(heavy, "k", "left_anti"), "k").where(
-        F.col("id_a") < F.col("id_b") if symmetric else F.col("id_a") != F.col("id_b")
-    )
-    light = light.groupBy("id_a", "id_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    light = _joined_dots(left, right.join(heavy, "k", "left_anti"), symmetric)
 
     dense_left = left.join(heavy, "k", "left_semi")
     dense_right = right.join(heavy, "k", "left_semi")
@@ -84,13 +88,19 @@ def dot_products(
         lambda pdf: _block_dots(pdf, symmetric), "id_a string, id_b string, dot double"
     )
     return (
-        light.select(F.col("id_a").cast("string"), F.col("id_b").cast("string"), "dot")
-        .unionByName(blocks)
+        light.unionByName(blocks)
         .groupBy("id_a", "id_b")
         .agg(F.sum("dot").alias("dot"))
     )
 
 
+def _joined_dots(left: DataFrame, right: DataFrame, symmetric: bool) -> DataFrame:
+    pairs = spread_by(left, "k").join(spread_by(right, "k"), "k").where(
+        F.col("id_a") < F.col("id_b") if symmetric else F.col("id_a") != F.col("id_b")
+    )
+    return pairs.groupBy("id_a", "id_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+
+
 def _dense(part: pd.DataFrame, columns: pd.Index) -> tuple[np.ndarray, np.ndarray]:
     codes, ids = pd.factorize(part["id"], sort=True)
     m = np.zeros((len(ids), len(columns)))

@@ -2,13 +2,60 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001
+HOT_FLOOR = 10_000
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition into exactly ``spark.sql.shuffle.partitions`` parts.
+
+    Meant for inputs of joins that multiply rows: sized by its small input, such
+    a join would be coalesced into few tasks that then produce all the output.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
+@dataclass(frozen=True)
+class KeyCounts:
+    """Rows of a table and of its most frequent key, per key column."""
 
+    total: int
+    largest: dict[str, int]
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = 10_000) -> DataFrame:
+    def has_hot(self, key: str) -> bool:
+        return self.largest[key] > max(self.total * HOT_SHARE, HOT_FLOOR)
+
+
+def key_counts(df: DataFrame, *keys: str) -> KeyCounts:
+    """One counting pass; brings one row per key column to the driver.
+
+    Lets a caller leave out the branches for hot keys when there are none.
+    """
+    cells = df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in keys])
+        ).alias("c")
+    )
+    rows = (
+        cells.groupBy("c.name", "c.value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("name")
+        .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
+        .collect()
+    )
+    largest = {k: 0 for k in keys} | {r["name"]: r["largest"] for r in rows}
+    return KeyCounts(max((r["total"] for r in rows), default=0), largest)
+
+
+def hot_keys(
+    df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT_FLOOR
+) -> DataFrame:
     """Keys holding more than ``share`` of the rows: never more than ``1/share`` keys."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
     total = counts.agg(F.sum("rows_of_key")).scalar()
@@ -21,7 +68,7 @@ def salted_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    hot: DataFrame,
+    hot: DataFrame | None,
     spread: list[str],
     how: str = "inner",
     salts: int = 32,
@@ -31,7 +78,10 @@ def salted_join(
     ``hot`` comes from :func:`hot_keys` (at most ``1/share`` rows, hence the
     broadcast). Left rows of a hot key get a salt from the ``spread`` columns;
     right rows of a hot key are repeated once per salt. Other keys use salt 0.
+    ``hot`` is None when the caller knows there is no hot key.
     """
+    if hot is None:
+        return spread_by(left, key).join(spread_by(right, key), key, how)
     flags = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
     one_of = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     lhs = left.join(flags, key, "left").withColumn(
@@ -41,4 +91,5 @@ def salted_join(
     rhs = right.join(flags, key, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
-    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+    on = [key, "_salt"]
+    return spread_by(lhs, *on).join(spread_by(rhs, *on), on, how).drop("_salt")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tastemill.functions.columns import clip, rank_score
 from tastemill.functions.products import dot_products
 from tastemill.functions.ranking import dense_index, top_n, with_row
-from tastemill.functions.skew import hot_keys, salted_join
+from tastemill.functions.skew import KeyCounts, hot_keys, key_counts, salted_join
 from tastemill.operators.matrix import item_count, user_means
 
 # Fixed values --------------------------------------------------------------
@@ -20,6 +20,16 @@ MAX_BATCH_USERS = 100
 MAX_BATCH_ITEMS = 20
 # ---------------------------------------------------------------------------
 
+# keys with more rows than this are multiplied in blocks instead of joined
+DEGREE_LIMIT = 1000
+
+
+def _hot(cells: DataFrame, key: str, counts: KeyCounts, name: str | None = None):
+    """Hot keys under the name used in the join, or None when there are none."""
+    if not counts.has_hot(key):
+        return None
+    return hot_keys(cells, key).withColumnRenamed(key, name or key)
+
 
 def unit_cells(cells: DataFrame, row: str) -> DataFrame:
     """Cells divided by the length of their row, so dot products are cosines.
@@ -37,19 +47,22 @@ def cosine(
     row: str,
     key: str,
     targets: DataFrame | None = None,
-    degree_limit: int = 1000,
+    degree_limit: int = DEGREE_LIMIT,
+    counts: KeyCounts | None = None,
 ) -> DataFrame:
     """``(id_a, id_b, sim)``: every two rows that share a key.
 
     Unordered pairs (``id_a < id_b``) without ``targets``. With ``targets`` the
     filter sits below the pairing: only target rows appear as ``id_a``.
     """
+    counts = counts or key_counts(cells, key)
+    how = {"row": row, "key": key, "degree_limit": degree_limit, "largest": counts.largest[key]}
     units = unit_cells(cells, row)
     if targets is None:
-        dots = dot_products(units, row=row, key=key, degree_limit=degree_limit)
+        dots = dot_products(units, **how)
     else:
         chosen = units.join(targets.select(row).distinct(), row, "left_semi")
-        dots = dot_products(chosen, units, row=row, key=key, degree_limit=degree_limit)
+        dots = dot_products(chosen, units, **how)
     return dots.withColumnRenamed("dot", "sim")
 
 
@@ -100,7 +113,10 @@ def user_similarity_pearson(
     Without ``pairs``: users that share an item. With ``pairs`` (``id_a``,
     ``id_b``): exactly those, where sharing nothing still correlates.
     """
-    dots = dot_products(cells, row="user_id", key="movie_id")
+    largest = key_counts(cells, "movie_id").largest["movie_id"]
+    dots = dot_products(
+        cells, row="user_id", key="movie_id", degree_limit=DEGREE_LIMIT, largest=largest
+    )
     if pairs is not None:
         full = dots.unionByName(
             dots.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "dot")
@@ -145,8 +161,10 @@ def _deviations(cells: DataFrame, means: DataFrame) -> DataFrame:
     )
 
 
-def _similar(cells: DataFrame, row: str, key: str, targets: DataFrame | None) -> DataFrame:
-    sims = cosine(cells, row, key, targets)
+def _similar(
+    cells: DataFrame, row: str, key: str, targets: DataFrame | None, counts: KeyCounts
+) -> DataFrame:
+    sims = cosine(cells, row, key, targets, counts=counts)
     return both_ways(sims) if targets is None else sims
 
 
@@ -167,13 +185,14 @@ def user_cf_predict(
     """
     pairs = pairs.select("user_id", "movie_id").distinct()
     n_items = item_count(items)
+    counts = key_counts(cells, "movie_id")
     means = user_means(cells, n_items)
     raters = _deviations(cells, means)
     met = salted_join(
-        raters, pairs, "movie_id", hot_keys(cells, "movie_id"), ["neighbour"]
+        raters, pairs, "movie_id", _hot(cells, "movie_id", counts), ["neighbour"]
     ).where(F.col("neighbour") != F.col("user_id"))
     if metric == "cosine":
-        sims = _similar(cells, "user_id", "movie_id", targets)
+        sims = _similar(cells, "user_id", "movie_id", targets, counts)
     elif metric == "pearson":
         wanted = met.select(
             F.col("user_id").alias("id_a"), F.col("neighbour").alias("id_b")
@@ -212,12 +231,13 @@ def user_cf_recommend(
     index = dense_index(items, "movie_id")
     n_items = index.agg(F.count(F.lit(1)))
     means = user_means(cells, n_items.scalar())
-    sims = _similar(cells, "user_id", "movie_id", targets).select(
+    counts = key_counts(cells, "movie_id", "user_id")
+    sims = _similar(cells, "user_id", "movie_id", targets, counts).select(
         F.col("id_a").alias("user_id"), F.col("id_b").alias("neighbour"), "sim"
     )
     met = salted_join(
         sims, _deviations(cells, means), "neighbour",
-        hot_keys(cells, "user_id").withColumnRenamed("user_id", "neighbour"), ["user_id"],
+        _hot(cells, "user_id", counts, "neighbour"), ["user_id"],
     )
     estimates = _user_estimates(met, k)
     asked = cells if targets is None else cells.join(
@@ -282,11 +302,12 @@ def item_cf_predict(
 ) -> DataFrame:
     """Weighted mean of the user's ratings of the ``k`` most similar movies; none: 0."""
     pairs = pairs.select("user_id", "movie_id").distinct()
+    counts = key_counts(cells, "user_id")
     own = cells.select("user_id", F.col("movie_id").alias("neighbour"), "rating")
     met = salted_join(
-        own, pairs, "user_id", hot_keys(cells, "user_id"), ["neighbour"]
+        own, pairs, "user_id", _hot(cells, "user_id", counts), ["neighbour"]
     ).where(F.col("neighbour") != F.col("movie_id"))
-    sims = both_ways(item_similarity_cosine(cells)).select(
+    sims = _similar(cells, "movie_id", "user_id", None, counts).select(
         F.col("id_a").alias("movie_id"), F.col("id_b").alias("neighbour"), "sim"
     )
     estimates = _weighted(
@@ -311,13 +332,14 @@ def item_cf_recommend(
     )
     # only movies the asked users rated are needed on one side
     anchors = None if targets is None else asked.select("movie_id").distinct()
-    sims = _similar(cells, "movie_id", "user_id", anchors).select(
+    counts = key_counts(cells, "user_id", "movie_id")
+    sims = _similar(cells, "movie_id", "user_id", anchors, counts).select(
         F.col("id_a").alias("neighbour"), F.col("id_b").alias("movie_id"), "sim"
     )
     own = asked.select("user_id", F.col("movie_id").alias("neighbour"), "rating")
     met = salted_join(
         own, sims, "neighbour",
-        hot_keys(cells, "movie_id").withColumnRenamed("movie_id", "neighbour"), ["user_id"],
+        _hot(cells, "movie_id", counts, "neighbour"), ["user_id"],
     )
     estimates = _weighted(k_nearest_rated(met, k), "rating").select(
         "user_id", "movie_id", clip("estimate").alias("score")
