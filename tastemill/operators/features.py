@@ -339,8 +339,13 @@ def unit_features(features: DataFrame) -> DataFrame:
     )
 
 
-def feature_vectors(features: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(movie_id, vec array<double>)``: cells in the order of the sorted features."""
+def feature_vectors(
+    features: DataFrame, vocabulary: DataFrame | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """``(movie_id, vec array<double>)``: cells in the order of the sorted features.
+
+    ``ids`` may name rows that must be present even without a feature.
+    """
     if vocabulary is None:
         vocabulary = dense_index(features, "feature", "idx")
     # lambdas cannot hold a subquery, so the slots are a column of their own
@@ -349,6 +354,9 @@ def feature_vectors(features: DataFrame, vocabulary: DataFrame | None = None) ->
     maps = placed.groupBy("movie_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("int"), "value"))).alias("m")
     )
+    if ids is not None:
+        empty = F.create_map().cast("map<int,double>")
+        maps = ids.join(maps, "movie_id", "left").withColumn("m", F.coalesce("m", empty))
     return maps.withColumn("slots", slots).select(
         "movie_id",
         F.transform(

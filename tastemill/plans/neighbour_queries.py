@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from tastemill.operators import cf, matrix, mf
 from tastemill.plans.registry import query
 from tastemill.plans.shared import r6
+from tastemill.session import materialise
 from tastemill.sources.views import Views
 
 
 def cells(v: Views):
-    return matrix.rated_cells(v.ratings())
+    return materialise(matrix.rated_cells(v.ratings()))
 
 
 def event_cells(v: Views):
-    return matrix.rated_cells(v.events())
+    return materialise(matrix.rated_cells(v.events()))
 
 
 def items(v: Views):
@@ -50,7 +51,7 @@ def rating_matrix(v: Views):
     FROM v_ecells WHERE movie_id IN ('1', '2', '3') GROUP BY user_id""",
 )
 def matrix_view(v: Views):
-    out = matrix.matrix_view(event_cells(v), ["1", "2", "3"])
+    out = matrix.matrix_view(matrix.rated_cells(v.events()), ["1", "2", "3"])
     return out.select("user_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in "123"])
 
 
@@ -63,7 +64,8 @@ def matrix_view(v: Views):
     WHERE movie_id NOT IN (SELECT movie_id FROM v_ecells)""",
 )
 def universe_completion(v: Views):
-    return matrix.universe_completion(event_cells(v), v.users(), v.movies())
+    rated = matrix.rated_cells(v.events())
+    return matrix.universe_completion(rated, v.users(), v.movies())
 
 
 @query(
@@ -73,14 +75,15 @@ def universe_completion(v: Views):
     EXCEPT SELECT user_id, movie_id FROM v_ecells""",
 )
 def unrated_candidates(v: Views):
-    return matrix.unrated_candidates(v.events().select("user_id"), event_items(v), event_cells(v))
+    rated = matrix.rated_cells(v.events())
+    return matrix.unrated_candidates(v.events().select("user_id"), event_items(v), rated)
 
 
 @query(
     "global_mean", "SELECT round(avg(rating), 6) AS global_mean, count(*) AS cells FROM v_cells"
 )
 def global_mean(v: Views):
-    return matrix.global_mean(cells(v)).withColumn("global_mean", r6("global_mean"))
+    return matrix.global_mean(matrix.rated_cells(v.ratings())).withColumn("global_mean", r6("global_mean"))
 
 
 def cosine_sql(name: str, source: str, row: str, key: str) -> str:

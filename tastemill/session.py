@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -41,3 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tastemill-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute once into the shared checkpoint folder and read from there on.
+
+    For tables that several branches of a plan read: the branches neither
+    recompute them nor depend on executors that held them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
