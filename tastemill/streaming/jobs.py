@@ -100,31 +100,44 @@ def fold_profile(count: int, average: float, ratings: Iterator[float | None]) ->
     return count, average
 
 
-def _update_profile(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    count, average = state.get if state.exists else (0, 0.0)
-    # (time, id, rating) of this micro-batch only; order matters for the average
-    rows = pd.concat([b[["timestamp", "interaction_id", "rating"]] for b in batches])
-    rows = rows.sort_values(["timestamp", "interaction_id"])
-    count, average = fold_profile(count, average, rows["rating"].tolist())
-    state.update((count, average))
-    state.setTimeoutDuration("30 days")
-    yield pd.DataFrame(
-        {"user_id": [key[0]], "interaction_count": [count], "avg_rating": [average]}
-    )
+def _profile_updater(idle_days: int | None):
+    def update(
+        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, average = state.get if state.exists else (0, 0.0)
+        # (time, id, rating) of this micro-batch only; order matters for the average
+        rows = pd.concat([b[["timestamp", "interaction_id", "rating"]] for b in batches])
+        rows = rows.sort_values(["timestamp", "interaction_id"])
+        count, average = fold_profile(count, average, rows["rating"].tolist())
+        state.update((count, average))
+        if idle_days is not None:
+            state.setTimeoutDuration(idle_days * 24 * 3600 * 1000)
+        yield pd.DataFrame(
+            {"user_id": [key[0]], "interaction_count": [count], "avg_rating": [average]}
+        )
+
+    return update
 
 
 def stream_user_profile(
-    events: DataFrame, log: str, checkpoint: str, once: bool = True
+    events: DataFrame, log: str, checkpoint: str, once: bool = True, idle_days: int | None = None
 ) -> StreamingQuery:
-    """Sequential running profile per user; idle users leave the state after 30 days."""
+    """Sequential running profile per user, two numbers of state each.
+
+    A user's rows of one micro-batch are ordered in memory, so bound the batch at
+    the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). With
+    ``idle_days`` a user idle for longer starts anew; by default state is kept.
+    """
+    timeout = (
+        GroupStateTimeout.NoTimeout
+        if idle_days is None
+        else GroupStateTimeout.ProcessingTimeTimeout
+    )
     profiles = events.groupBy("user_id").applyInPandasWithState(
-        _update_profile, PROFILE_SCHEMA, PROFILE_STATE, "update",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        _profile_updater(idle_days), PROFILE_SCHEMA, PROFILE_STATE, "update", timeout
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
