@@ -21,6 +21,19 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+def widen_scan(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a file scan with fewer splits than cores over all cores.
+
+    For text work on a few large files. A table of many files is left as it is,
+    so large data is never shuffled for this. Meant for plain scans, whose split
+    count is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
 @dataclass(frozen=True)
 class KeyCounts:
     """Rows of a table and of its most frequent key, per key column."""

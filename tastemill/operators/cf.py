@@ -125,6 +125,17 @@ def user_similarity_pearson(
     return pearson(dots, cells, n_items)
 
 
+def with_similarity(met: DataFrame, sims: DataFrame, one: str, other: str) -> DataFrame:
+    """Look up the similarity of two columns in a table of unordered pairs.
+
+    The pair is put in order on the fly, so the pair table is neither doubled
+    nor shuffled in both directions.
+    """
+    return met.withColumns(
+        {"id_a": F.least(one, other), "id_b": F.greatest(one, other)}
+    ).join(sims, ["id_a", "id_b"]).drop("id_a", "id_b")
+
+
 def k_nearest_rated(neighbours: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """The ``k`` most similar usable neighbours per (user, movie).
 
@@ -168,6 +179,10 @@ def _similar(
     return both_ways(sims) if targets is None else sims
 
 
+def _named(sims: DataFrame) -> DataFrame:
+    return sims.select(F.col("id_a").alias("user_id"), F.col("id_b").alias("neighbour"), "sim")
+
+
 def user_cf_predict(
     cells: DataFrame,
     pairs: DataFrame,
@@ -191,17 +206,21 @@ def user_cf_predict(
     met = salted_join(
         raters, pairs, "movie_id", _hot(cells, "movie_id", counts), ["neighbour"]
     ).where(F.col("neighbour") != F.col("user_id"))
-    if metric == "cosine":
-        sims = _similar(cells, "user_id", "movie_id", targets, counts)
+    if metric == "cosine" and targets is None:
+        sims = cosine(cells, "user_id", "movie_id", counts=counts)
+        alike = with_similarity(met, sims, "user_id", "neighbour")
+    elif metric == "cosine":
+        sims = cosine(cells, "user_id", "movie_id", targets, counts=counts)
+        alike = met.join(_named(sims), ["user_id", "neighbour"])
     elif metric == "pearson":
         wanted = met.select(
             F.col("user_id").alias("id_a"), F.col("neighbour").alias("id_b")
         ).distinct()
         sims = user_similarity_pearson(cells, n_items, wanted).where(F.col("sim").isNotNull())
+        alike = met.join(_named(sims), ["user_id", "neighbour"])
     else:
         raise ValueError(f"unknown similarity metric: {metric}")
-    sims = sims.select(F.col("id_a").alias("user_id"), F.col("id_b").alias("neighbour"), "sim")
-    estimates = _user_estimates(met.join(sims, ["user_id", "neighbour"]), k)
+    estimates = _user_estimates(alike, k)
     score = (
         F.when(F.col("user_known").isNull() | F.col("movie_known").isNull(), F.lit(0.0))
         .when(F.col("estimate").isNull(), F.col("user_mean"))
@@ -307,12 +326,9 @@ def item_cf_predict(
     met = salted_join(
         own, pairs, "user_id", _hot(cells, "user_id", counts), ["neighbour"]
     ).where(F.col("neighbour") != F.col("movie_id"))
-    sims = _similar(cells, "movie_id", "user_id", None, counts).select(
-        F.col("id_a").alias("movie_id"), F.col("id_b").alias("neighbour"), "sim"
-    )
-    estimates = _weighted(
-        k_nearest_rated(met.join(sims, ["movie_id", "neighbour"]), k), "rating"
-    )
+    sims = cosine(cells, "movie_id", "user_id", counts=counts)
+    alike = with_similarity(met, sims, "movie_id", "neighbour")
+    estimates = _weighted(k_nearest_rated(alike, k), "rating")
     score = clip(F.coalesce("estimate", F.lit(0.0)))
     return pairs.join(estimates, ["user_id", "movie_id"], "left").select(
         "user_id", "movie_id", score.alias("score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tastemill.functions.columns import clean_text as clean_text_column
 from tastemill.functions.columns import coerce_double, movie_id_from_filename
 from tastemill.functions.columns import parse_genres as parse_genres_column
+from tastemill.functions.skew import widen_scan
 from tastemill.operators import clean, quality
 from tastemill.plans.registry import query
 from tastemill.plans.shared import MOMENT, moment, r6
@@ -133,7 +134,8 @@ def parse_genres(v: Views):
 
 @query("clean_text", f"SELECT doc_id, {clean_sql('text')} AS text_clean FROM documents")
 def clean_text(v: Views):
-    return v.table("documents").select("doc_id", clean_text_column("text").alias("text_clean"))
+    docs = widen_scan(v.table("documents"), "doc_id")
+    return docs.select("doc_id", clean_text_column("text").alias("text_clean"))
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tastemill.functions.skew import widen_scan
+
 AS_OF_LOG = "2001-08-02 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
 DOC_MODULUS = 200
@@ -103,7 +105,7 @@ class Views:
         )
 
     def docs(self) -> DataFrame:
-        docs = self.table("documents")
+        docs = widen_scan(self.table("documents"), "doc_id")
         labels = self.table("labels").select("doc_id", "quality")
         return docs.join(labels, "doc_id", "left").select(
             F.col("doc_id").cast("string").alias("movie_id"),
