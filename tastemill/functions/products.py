@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +85,9 @@ def dot_products(
     cells = a.unionByName(b)
     if symmetric:
         cells = cells.where(F.col("ta") <= F.col("tb"))
-    blocks = cells.groupBy("ta", "tb", "kb").applyInPandas(
-        lambda pdf: _block_dots(pdf, symmetric), "id_a string, id_b string, dot double"
+    blocks = cells.groupBy("ta", "tb", "kb").applyInArrow(
+        lambda block: _block_dots(block.to_pandas(), symmetric),
+        "id_a string, id_b string, dot double",
     )
     return (
         light.unionByName(blocks)
@@ -108,27 +110,36 @@ def _dense(part: pd.DataFrame, columns: pd.Index) -> tuple[np.ndarray, np.ndarra
     return np.asarray(ids, dtype=object), m
 
 
-def _block_dots(pdf: pd.DataFrame, symmetric: bool) -> pd.DataFrame:
-    """Products of one block; ids in ``pdf`` are strings."""
-    empty = pd.DataFrame({"id_a": [], "id_b": [], "dot": []})
-    lhs, rhs = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+def _pairs(first: str, a, second: str, b, name: str, values) -> pa.Table:
+    return pa.table(
+        {
+            first: pa.array(np.asarray(a, dtype=object), pa.string()),
+            second: pa.array(np.asarray(b, dtype=object), pa.string()),
+            name: pa.array(np.asarray(values, dtype=float), pa.float64()),
+        }
+    )
+
+
+def _block_dots(block: pd.DataFrame, symmetric: bool) -> pa.Table:
+    """Non-zero products of one block; with ``symmetric`` in id order, once each."""
+    lhs, rhs = block[block["side"] == 0], block[block["side"] == 1]
     keys = pd.Index(np.intersect1d(lhs["k"].unique(), rhs["k"].unique()))
     lhs, rhs = lhs[lhs["k"].isin(keys)], rhs[rhs["k"].isin(keys)]
     if lhs.empty or rhs.empty:
-        return empty
+        return _pairs("id_a", [], "id_b", [], "dot", [])
     ids_a, ma = _dense(lhs, keys)
     ids_b, mb = _dense(rhs, keys)
     dots = ma @ mb.T
     i, j = np.nonzero(dots)
-    out = pd.DataFrame({"id_a": ids_a[i], "id_b": ids_b[j], "dot": dots[i, j]})
+    a, b, values = ids_a[i], ids_b[j], dots[i, j]
     if not symmetric:
-        return out[out["id_a"] != out["id_b"]]
-    if pdf["ta"].iat[0] == pdf["tb"].iat[0]:
-        return out[out["id_a"] < out["id_b"]]
-    swap = (out["id_a"] > out["id_b"]).to_numpy()
-    first = np.where(swap, out["id_b"], out["id_a"])
-    second = np.where(swap, out["id_a"], out["id_b"])
-    return pd.DataFrame({"id_a": first, "id_b": second, "dot": out["dot"].to_numpy()})
+        keep = a != b
+    elif block["ta"].iat[0] == block["tb"].iat[0]:
+        keep = a < b
+    else:
+        keep = np.ones(len(a), dtype=bool)
+        a, b = np.where(a < b, a, b), np.where(a < b, b, a)
+    return _pairs("id_a", a[keep], "id_b", b[keep], "dot", values[keep])
 
 
 def _tiles(df: DataFrame, tile_rows: int) -> Column:
@@ -185,8 +196,9 @@ def grid_top_k(
                 F.lit(2).alias("side"), "id", "other_id", no_vec.alias("vec"),
             )
         )
-    best = grid.groupBy("ta", "tb").applyInPandas(
-        lambda pdf: _tile_top_k(pdf, k, same, clip_to), "id string, other_id string, score double"
+    best = grid.groupBy("ta", "tb").applyInArrow(
+        lambda block: _tile_top_k(block.to_pandas(), k, same, clip_to),
+        "id string, other_id string, score double",
     )
     from tastemill.functions.ranking import top_n
 
@@ -194,18 +206,17 @@ def grid_top_k(
 
 
 def _tile_top_k(
-    pdf: pd.DataFrame, k: int, same: bool, clip_to: tuple[float, float] | None
-) -> pd.DataFrame:
-    empty = pd.DataFrame({"id": [], "other_id": [], "score": []})
-    lhs = pdf[pdf["side"] == 0]
-    rhs = pdf[pdf["side"] == 1].sort_values("id")
+    block: pd.DataFrame, k: int, same: bool, clip_to: tuple[float, float] | None
+) -> pa.Table:
+    lhs = block[block["side"] == 0]
+    rhs = block[block["side"] == 1].sort_values("id")
     if lhs.empty or rhs.empty:
-        return empty
-    ids, others = lhs["id"].to_numpy(), rhs["id"].to_numpy()
+        return _pairs("id", [], "other_id", [], "score", [])
+    ids, others = lhs["id"].to_numpy(dtype=object), rhs["id"].to_numpy(dtype=object)
     scores = np.stack(lhs["vec"].to_list()) @ np.stack(rhs["vec"].to_list()).T
     if clip_to is not None:
         scores = np.clip(scores, *clip_to)
-    gone = pdf[pdf["side"] == 2]
+    gone = block[block["side"] == 2]
     at_row, at_col = pd.Index(ids), pd.Index(others)
     if not gone.empty:
         i, j = at_row.get_indexer(gone["id"]), at_col.get_indexer(gone["other_id"])
@@ -217,5 +228,7 @@ def _tile_top_k(
     keep = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
     best = np.take_along_axis(scores, keep, axis=1)
     row = np.repeat(np.arange(len(ids)), keep.shape[1])
-    out = pd.DataFrame({"id": ids[row], "other_id": others[keep.ravel()], "score": best.ravel()})
-    return out[np.isfinite(out["score"])]
+    real = np.isfinite(best.ravel())
+    return _pairs(
+        "id", ids[row][real], "other_id", others[keep.ravel()][real], "score", best.ravel()[real]
+    )
