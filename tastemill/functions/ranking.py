@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.columns import rank_score
+from tastemill.session import materialise
 
 
 def top_n(
@@ -54,14 +54,28 @@ def page_per(
 def dense_index(ids: DataFrame, column: str, index: str = "idx") -> DataFrame:
     """Number the distinct values of a column 0..n-1 in sorted order.
 
-    A range-partitioned sort followed by a distributed sequence; no window over
-    the whole table, so no task sees more than its range.
+    A range-partitioned sort, stored once; the rows of the ranges before are
+    added to the place inside the range. No task sees more than its range, and
+    the table of offsets has one row per range.
     """
-    os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
-    import pyspark.pandas  # noqa: F401  (brings DataFrame.pandas_api)
-
-    ordered = ids.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
-    return ordered.pandas_api().to_spark(index_col=index).select(column, index)
+    ordered = materialise(
+        ids.select(column)
+        .where(F.col(column).isNotNull())
+        .distinct()
+        .repartitionByRange(column)
+        .sortWithinPartitions(column)
+        .select(column, F.monotonically_increasing_id().alias("_place"))
+    )
+    # the id holds the range in its upper bits and the place below
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = ordered.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(
+        "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
+    return ordered.withColumn("_range", part).join(F.broadcast(offsets), "_range").select(
+        column, (place + F.col("_before")).alias(index)
+    )
 
 
 def unpivot_columns(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
