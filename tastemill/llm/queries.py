@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import mixing, quality
+from tastemill.llm import mixing, packing, quality, token_store
 from tastemill.llm.sql import MIXING_SQL, QUALITY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,13 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_mixing", MIXING_SQL)
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents", "doc_id", "source", "text"))
+
+
+@query("op5_token_store")
+def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.round_trip(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents", "doc_id", "text"))
