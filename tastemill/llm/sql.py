@@ -103,3 +103,31 @@ SELECT doc_id, size, source_size, target,
        CAST((floor(rate * (rank + 1) + u) - floor(rate * rank + u)) * size AS BIGINT) AS taken
 FROM ranked
 """
+
+NEAR_DUP_SQL = rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id,
+           regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS ws
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ')
+                                 ELSE array_to_string(ws[i:i + 4], ' ') END AS s
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS i
+          FROM d)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+    WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+       least(d.doc_id, coalesce(b, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(b, d.doc_id)) AS kept
+FROM d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least_of l ON d.doc_id = l.a
+"""
