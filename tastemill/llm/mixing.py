@@ -19,7 +19,7 @@ MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
 # Rows that one task orders; more rows give more buckets, not larger ones.
-BUCKET_ROWS = 1 << 17
+BUCKET_ROWS = 1 << 13
 
 
 def hash32(value: Column) -> Column:
