@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import mixing, near_dup, packing, quality, token_store
-from tastemill.llm.sql import MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL
+from tastemill.llm import mixing, near_dup, packing, quality, token_store, topk
+from tastemill.llm.sql import MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL, TOP_K_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_near_dup", NEAR_DUP_SQL)
 def op9_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op10_top_k", TOP_K_SQL)
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings", "vec_id", "embedding"))
