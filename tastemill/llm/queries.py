@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import mixing, near_dup, packing, quality, token_store, topk
-from tastemill.llm.sql import MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL, TOP_K_SQL
+from tastemill.llm import mixing, near_dup, packing, quality, token_store, topk, warc
+from tastemill.llm.sql import MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL, TOP_K_SQL, WARC_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op9_near_dup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_top_k", TOP_K_SQL)
 def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query("op7_warc", WARC_SQL)
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages", "page_id", "url", "html"))

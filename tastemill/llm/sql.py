@@ -151,3 +151,18 @@ SELECT query_id,
 FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
+
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+           sha1(coalesce(html, '')) AS payload_digest
+    FROM pages),
+f AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000
+                   THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first
+    FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""

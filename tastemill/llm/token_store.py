@@ -17,12 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm.common import stored
+from tastemill.llm.common import open_store, stored
 from tastemill.llm.tokens import WordEncoder
 from tastemill.session import scratch_folder
 
@@ -122,13 +121,6 @@ class Shard:
         return self.slice(int(self.starts[number]), int(self.starts[number + 1]))
 
 
-def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder on the shared storage."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def write_tokens(
     docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None = None
 ) -> DataFrame:
