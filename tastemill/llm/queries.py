@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import chat, mixing, near_dup, packing, quality, token_store, topk, warc
+from tastemill.llm import chat, mixing, near_dup, packing, pii, quality, token_store, topk, warc
 from tastemill.llm.sql import CHAT_SQL, MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL, TOP_K_SQL, WARC_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     pair = F.to_json(F.struct(F.lit(HOSTILE).alias("prompt"), F.lit(HOSTILE).alias("response")))
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), pair.alias("record"))
     return chat.round_trip(chat.turn_records(rows).unionByName(extra))
+
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents", "doc_id", "text"))
