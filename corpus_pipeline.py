@@ -4,31 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import mixing, quality
+from tastemill.llm import mixing, near_dup, packing, pii, quality
 from tastemill.session import scratch_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; hosts are judged by the stage's own input."""
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return near_dup.keep_first(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the texts; every document stays."""
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated until the sources have their weights."""
     return mixing.mix(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document gets its place in a training sequence."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
-# The last stage counts tokens of a vocabulary file, which SQL cannot do.
+# Packing counts tokens of a vocabulary file, which SQL cannot do.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each one's rows are written and read again."""
+    """All stages on ``documents``; each one's rows are written and read again.
+
+    A null text or source, repeated rows, extra columns (also ones named like an
+    operator's own) and an empty table pass through as each stage's operator
+    defines it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_folder(spark, name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import chat, mixing, near_dup, packing, pii, quality, token_store, topk, warc
-from tastemill.llm.sql import CHAT_SQL, MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL, TOP_K_SQL, WARC_SQL
+from tastemill.llm import chat, licenses, mixing, near_dup, packing, pii, quality, token_store, topk, warc
+from tastemill.llm.sql import CHAT_SQL, LICENSE_SQL, MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL, TOP_K_SQL, WARC_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_pii")
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op3_licenses", LICENSE_SQL)
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.recognise(table(spark, folder, "documents", "doc_id", "text"))

@@ -1,5 +1,7 @@
 """The same results in DuckDB's SQL, where SQL can express them."""
 
+from tastemill.llm.licenses import RULES, TRIGGER, known_sentences
+
 # words of a text, as a pattern
 _W = r"[^\x20\x09-\x0D]+"
 
@@ -187,3 +189,41 @@ SELECT conv_id, count(*) AS n_turns,
             AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+def _rules(sequence: str) -> str:
+    for name, ids in RULES:
+        pattern = "".join(f";{i};" for i in ids)
+        sequence = f"replace({sequence}, '{pattern}', ';={name};')"
+    return sequence
+
+
+_KNOWN = ", ".join(f"('{text}', '{name}')" for text, name in known_sentences().items())
+
+LICENSE_SQL = rf"""
+WITH known(norm, id) AS (VALUES {_KNOWN}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+units AS (
+    SELECT rid, i, us[i] AS u
+    FROM (SELECT rid, us, unnest(range(1, len(us) + 1)) AS i
+          FROM (SELECT rid, string_split_regex(t, '[.!?]+(?:\s+|$)|\n\s*\n') AS us FROM d
+                WHERE regexp_matches(t, '{TRIGGER}')))),
+parts AS (
+    SELECT rid, i, 0 AS j, u AS s FROM units
+    UNION ALL
+    SELECT rid, i, j, ls[j] FROM (
+        SELECT rid, i, ls, unnest(range(1, len(ls) + 1)) AS j
+        FROM (SELECT rid, i, string_split(u, chr(10)) AS ls FROM units) WHERE len(ls) > 1)),
+found AS (
+    SELECT rid, i, j, id FROM parts
+    JOIN known ON norm = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
+seqs AS (
+    SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids,
+           string_agg(';' || id || ';', '' ORDER BY i, j) AS seq
+    FROM found GROUP BY rid),
+rest AS (SELECT rid, n, ids, {_rules("seq")} AS r FROM seqs)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids,
+       coalesce(array_to_string(regexp_extract_all(r, ';=([^;]*);', 1), ','), '') AS licenses,
+       coalesce(array_to_string(regexp_extract_all(r, ';([^=;][^;]*);', 1), ','), '') AS unmatched
+FROM d LEFT JOIN rest ON d.rid = rest.rid
+"""
