@@ -14,8 +14,10 @@ Buckets are not expanded into pairs. Equal sets are one node. Then three rounds
 of candidates, each leaving out pairs that earlier links already connect:
 every node with the bucket leader it meets most often, all nodes with the
 leaders of their buckets, and last all remaining pairs of a bucket whose ends
-lie in different components. The last round completes the search, so nothing
-depends on who leads.
+lie in different components. For the last round the shingles of the sets still
+open are counted: what no other open set holds cannot be shared, and that bounds
+the similarity of a pair before it is formed. The last round completes the
+search, so nothing depends on who leads.
 """
 
 from __future__ import annotations
@@ -242,6 +244,27 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.where("of_a != of_b").select("a", "b")
 
 
+def _parts(sets: DataFrame) -> DataFrame:
+    """``(id, common, alone)``: shingles that other sets of the table hold too, or do not.
+
+    A pair shares common shingles only. So its similarity is at most the smaller
+    common part over the larger one and both lone parts, and a set with a large
+    lone part links with nothing in the table.
+    """
+    lone = (
+        sets.select("id", F.explode("shingles").alias("s"))
+        .groupBy("s")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("of"))
+        .where("n = 1")
+        .groupBy("of")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    found = sets.join(lone, F.col("id") == F.col("of"), "left").select(
+        "id", F.size("shingles").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone")
+    )
+    return found.select("id", (F.col("n") - F.col("alone")).alias("common"), "alone")
+
+
 def linked(docs: DataFrame, live: DataFrame) -> DataFrame:
     """``(id, label)`` of all nodes with a link; see the module's text for the rounds."""
     ids = live.select("id").distinct()
@@ -274,13 +297,19 @@ def linked(docs: DataFrame, live: DataFrame) -> DataFrame:
         .select("key", "main")
     )
     open_rows = stored(members.join(mixed_keys, "key"), "open")
-    outside = open_rows.where("label != main").select(
-        "key", F.col("id").alias("x"), F.col("label").alias("of_x"), F.col("leader").alias("lead")
+    parts = stored(_parts(sets.join(open_rows.select("id").distinct(), "id", "left_semi")), "parts")
+    able = 100 * F.col("common") >= PERCENT * (F.col("common") + F.col("alone"))
+    possible = open_rows.join(parts.where(able), "id")
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("id", "label", "leader", "common", "alone")]
+    may_reach = 100 * F.least("common_x", "common_y") >= PERCENT * (
+        F.greatest("common_x", "common_y") + F.col("alone_x") + F.col("alone_y")
     )
     pairs = (
-        outside.join(open_rows.select("key", F.col("id").alias("y"), F.col("label").alias("of_y")), "key")
-        .where("of_x != of_y and x != lead and y != lead")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        possible.where("label != main").select("key", *side("x"))
+        .join(possible.select("key", *side("y")), "key")
+        .where("label_x != label_y and id_x != leader_x and id_y != leader_y")
+        .where(may_reach)
+        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
         .distinct()
     )
     more = stored(confirmed(pairs, sets), "confirmed")
