@@ -26,7 +26,13 @@ from tastemill.llm.tokens import WordEncoder
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 400
+# Steps on the program; what they leave over is packed best-fit.
+ROUNDS = 1000
+# Prices start at (length / capacity) ** POWER: of equally full sequences, that
+# with larger pieces is worth more.
+POWER = 1.2
+# How fast the price of a covered length falls.
+DECAY = 0.2
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long"
 )
@@ -100,14 +106,14 @@ def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
 def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[Group]:
     """Multiplicative weights on the covering program; whole sequences per configuration.
 
-    Prices start in proportion to the lengths and fall by the share of a
-    length's demand that a step covers. A step is a fixed share of the lower
-    bound, less where it would exceed what is left of a length.
+    Prices fall by the share of a length's demand that a step covers. A step is a
+    fixed share of the lower bound, less where it would exceed what is left of a
+    length, so the rounding down happens step by step.
     """
     lengths = np.arange(capacity + 1)
     left = counts.astype(np.int64).copy()
     step = max(1, int((left * lengths).sum() / capacity / rounds))
-    price = np.where(left > 0, lengths / capacity, 0.0)
+    price = np.where(left > 0, (lengths / capacity) ** POWER, 0.0)
     groups: list[Group] = []
     for _ in range(rounds):
         if not left.any():
@@ -119,8 +125,7 @@ def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[Group
             groups.append((held, take))
         for n, k in held.items():
             left[n] -= k * take
-            covered = k * step / max(1, counts[n])
-            price[n] *= np.exp(-min(1.0, covered)) if take else 0.5
+            price[n] *= np.exp(-DECAY * k * take / max(1, counts[n])) if take else 0.5
             if left[n] == 0:
                 price[n] = 0.0
     return groups + best_fit(left, capacity)
