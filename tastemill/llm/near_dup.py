@@ -14,15 +14,16 @@ Buckets are not expanded into pairs. Equal sets are one node. Then three rounds
 of candidates, each leaving out pairs that earlier links already connect:
 every node with the bucket leader it meets most often, all nodes with the
 leaders of their buckets, and last all remaining pairs of a bucket whose ends
-lie in different components. For the last round the shingles of the sets still
-open are counted: what no other open set holds cannot be shared, and that bounds
-the similarity of a pair before it is formed. The last round completes the
-search, so nothing depends on who leads.
+lie in different components. In the last round an outline of each set bounds the
+similarity of a pair before it is formed: a place of the outline that only one
+side fills holds at least one shingle that is not shared. The last round
+completes the search, so nothing depends on who leads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ CHUNKS = 16
 CHUNK = 7
 ERRORS = 1
 SEED = 7
+# Places of a set's outline.
+BITS = 4096
 # Bytes of text worked on at a time inside a task.
 SLICE_BYTES = 8_000_000
 
@@ -137,8 +140,15 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def outline(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` places as 64-bit words; those that hold a shingle are set."""
+    places = np.zeros(BITS, np.uint8)
+    places[shingles % np.uint64(BITS)] = 1
+    return np.packbits(places, bitorder="little").view("<i8")
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """``(id, shingles)`` of each document."""
+    """``(id, shingles, bits)`` of each document: its set and the set's outline."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +156,15 @@ def full_sets(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, sets)])
             values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "shingles"])
+            bits = np.concatenate([np.zeros(0, np.int64), *map(outline, sets)])
+            every = pa.array(np.arange(len(sets) + 1) * (BITS // 64), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists, pa.ListArray.from_arrays(every, pa.array(bits))],
+                names=["id", "shingles", "bits"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "id long, shingles array<long>"
+        run, "id long, shingles array<long>, bits array<long>"
     )
 
 
@@ -244,27 +259,6 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.where("of_a != of_b").select("a", "b")
 
 
-def _parts(sets: DataFrame) -> DataFrame:
-    """``(id, common, alone)``: shingles that other sets of the table hold too, or do not.
-
-    A pair shares common shingles only. So its similarity is at most the smaller
-    common part over the larger one and both lone parts, and a set with a large
-    lone part links with nothing in the table.
-    """
-    lone = (
-        sets.select("id", F.explode("shingles").alias("s"))
-        .groupBy("s")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("of"))
-        .where("n = 1")
-        .groupBy("of")
-        .agg(F.count(F.lit(1)).alias("alone"))
-    )
-    found = sets.join(lone, F.col("id") == F.col("of"), "left").select(
-        "id", F.size("shingles").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone")
-    )
-    return found.select("id", (F.col("n") - F.col("alone")).alias("common"), "alone")
-
-
 def linked(docs: DataFrame, live: DataFrame) -> DataFrame:
     """``(id, label)`` of all nodes with a link; see the module's text for the rounds."""
     ids = live.select("id").distinct()
@@ -297,18 +291,26 @@ def linked(docs: DataFrame, live: DataFrame) -> DataFrame:
         .select("key", "main")
     )
     open_rows = stored(members.join(mixed_keys, "key"), "open")
-    parts = stored(_parts(sets.join(open_rows.select("id").distinct(), "id", "left_semi")), "parts")
-    able = 100 * F.col("common") >= PERCENT * (F.col("common") + F.col("alone"))
-    possible = open_rows.join(parts.where(able), "id")
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("id", "label", "leader", "common", "alone")]
-    may_reach = 100 * F.least("common_x", "common_y") >= PERCENT * (
-        F.greatest("common_x", "common_y") + F.col("alone_x") + F.col("alone_y")
+    words = range(BITS // 64)
+    outlines = sets.select(
+        "id",
+        F.size("shingles").alias("n"),
+        F.aggregate("bits", F.lit(0), lambda total, w: total + F.bit_count(w)).alias("ones"),
+        *[F.get("bits", F.lit(w)).alias(f"w{w}") for w in words],
+    )
+    possible = open_rows.join(outlines, "id")
+    names = ("id", "label", "leader", "n", "ones", *[f"w{w}" for w in words])
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in names]
+    overlap = reduce(
+        lambda total, w: total + F.bit_count(F.col(f"w{w}_x").bitwiseAND(F.col(f"w{w}_y"))), words, F.lit(0)
     )
+    alone = lambda n: F.col(f"ones_{n}") - overlap
+    shared = F.least(F.col("n_x") - alone("x"), F.col("n_y") - alone("y"))
     pairs = (
         possible.where("label != main").select("key", *side("x"))
         .join(possible.select("key", *side("y")), "key")
         .where("label_x != label_y and id_x != leader_x and id_y != leader_y")
-        .where(may_reach)
+        .where((100 + PERCENT) * shared >= PERCENT * (F.col("n_x") + F.col("n_y")))
         .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
         .distinct()
     )
