@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.functions.skew import spread_by
 
 
 def _block(c: str, n: int | Column) -> Column:
@@ -97,7 +96,7 @@ def dot_products(
 
 
 def _joined_dots(left: DataFrame, right: DataFrame, symmetric: bool) -> DataFrame:
-    pairs = spread_by(left, "k").join(spread_by(right, "k"), "k").where(
+    pairs = left.join(right, "k").where(
         F.col("id_a") < F.col("id_b") if symmetric else F.col("id_a") != F.col("id_b")
     )
     return pairs.groupBy("id_a", "id_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))

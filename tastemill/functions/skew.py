@@ -9,16 +9,7 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001
 HOT_FLOOR = 10_000
-
-
-def spread_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition into exactly ``spark.sql.shuffle.partitions`` parts.
-
-    Meant for inputs of joins that multiply rows: sized by its small input, such
-    a join would be coalesced into few tasks that then produce all the output.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys)
+ROWS_PER_SALT = 5_000
 
 
 def widen_scan(scan: DataFrame, key: str) -> DataFrame:
@@ -69,12 +60,12 @@ def key_counts(df: DataFrame, *keys: str) -> KeyCounts:
 def hot_keys(
     df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT_FLOOR
 ) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: never more than ``1/share`` keys."""
+    """``(key, rows_of_key)`` of keys with more than ``share`` of the rows: at most ``1/share``."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
     total = counts.agg(F.sum("rows_of_key")).scalar()
     return counts.where(
         (F.col("rows_of_key") > total * F.lit(share)) & (F.col("rows_of_key") > floor)
-    ).select(key)
+    ).select(key, "rows_of_key")
 
 
 def salted_join(
@@ -84,25 +75,26 @@ def salted_join(
     hot: DataFrame | None,
     spread: list[str],
     how: str = "inner",
-    salts: int = 32,
 ) -> DataFrame:
-    """Equi-join on ``key`` where rows of hot keys are split over ``salts`` tasks.
+    """Equi-join on ``key`` where rows of hot keys are split over many tasks.
 
     ``hot`` comes from :func:`hot_keys` (at most ``1/share`` rows, hence the
-    broadcast). Left rows of a hot key get a salt from the ``spread`` columns;
-    right rows of a hot key are repeated once per salt. Other keys use salt 0.
-    ``hot`` is None when the caller knows there is no hot key.
+    broadcast); a hot key gets a salt for every ``ROWS_PER_SALT`` of its rows. Left
+    rows of a hot key take a salt from the ``spread`` columns; right rows are
+    repeated once per salt. Other keys use salt 0. ``hot`` is None when the caller
+    knows there is no hot key. The shuffles are the join's own, so adaptive
+    execution may still split what is left of the skew.
     """
     if hot is None:
-        return spread_by(left, key).join(spread_by(right, key), key, how)
-    flags = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
-    one_of = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+        return left.join(right, key, how)
+    flags = F.broadcast(
+        hot.select(key, F.ceil(F.col("rows_of_key") / ROWS_PER_SALT).cast("int").alias("_salts"))
+    )
+    salts = F.coalesce("_salts", F.lit(1))
     lhs = left.join(flags, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), one_of).otherwise(F.lit(0))
-    ).drop("_hot")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+        "_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")
+    ).drop("_salts")
     rhs = right.join(flags, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    on = [key, "_salt"]
-    return spread_by(lhs, *on).join(spread_by(rhs, *on), on, how).drop("_salt")
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    ).drop("_salts")
+    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")

@@ -119,7 +119,8 @@ def clean_metadata(
             out[name] = coerce_double(name)
     df = df.withColumns(out)
     if fill:
-        gapless = {"movie_id", *out} - set(NUMERIC_COLUMNS)
+        # titles can be missing, other derived texts cannot
+        gapless = {"movie_id", *out} - {*NUMERIC_COLUMNS, "title", "title_clean"}
         kinds = {f.name: f.dataType for f in df.schema.fields}
         df = fill_missing(
             df,

@@ -60,6 +60,12 @@ def delete_users_cascade(
     }
 
 
+def natural_key(*columns: str) -> Column:
+    """Hash of the columns as text; which of them are NULL is part of it."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns]
+    return F.xxhash64(*parts).cast("string")
+
+
 def prepare_interactions(rows: DataFrame, as_of: str) -> DataFrame:
     """Defaults and a content-hash id: the same row always gets the same id."""
     have = {f.name: f.dataType for f in rows.schema.fields}
@@ -76,7 +82,7 @@ def prepare_interactions(rows: DataFrame, as_of: str) -> DataFrame:
         extra = F.coalesce("metadata", empty)
     out = rows.withColumns({"timestamp": when, "metadata": extra})
     natural = ["user_id", "movie_id", "interaction_type", "timestamp"]
-    return out.withColumn("interaction_id", F.xxhash64(*natural).cast("string"))
+    return out.withColumn("interaction_id", natural_key(*natural))
 
 
 def append_interactions(rows: DataFrame, folder: str, as_of: str) -> None:
@@ -94,7 +100,7 @@ def prepare_recommendations(recs: DataFrame, algorithm: str, generated_at: str)
         F.lit(False).alias("clicked"),
     )
     natural = ["user_id", "movie_id", "algorithm", "generated_at"]
-    return rows.withColumn("recommendation_id", F.xxhash64(*natural).cast("string"))
+    return rows.withColumn("recommendation_id", natural_key(*natural))
 
 
 def append_recommendations(

@@ -51,8 +51,8 @@ def extract_movie_id(v: Views):
     f"""
     SELECT movie_id, trim(title) AS title, lower(trim(title)) AS title_clean,
            array_to_string(genres, ', ') AS genres, len(genres) AS genre_count,
-           array_to_string(genres, ' ') AS all_genres, {clean_sql("description")}
-               AS description_clean,
+           array_to_string(genres, ' ') AS all_genres,
+           coalesce({clean_sql("description")}, '') AS description_clean,
            CAST(release_year AS DOUBLE) AS release_year,
            CAST(duration_minutes AS DOUBLE) AS duration_minutes,
            round(imdb_rating, 6) AS imdb_rating

@@ -38,7 +38,7 @@ VIEW_SQL: dict[str, str] = {
                (p_retailprice - 900.0::DOUBLE) / 10.0::DOUBLE AS imdb_rating,
                60 + 2 * p_size AS duration_minutes, p_type AS language, p_brand AS country,
                text AS description
-        FROM part LEFT JOIN documents ON doc_id = p_partkey % 200""",
+        FROM part LEFT JOIN documents ON doc_id = p_partkey""",
     "v_users": """
         SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_mktsegment AS segment,
                CAST(c_nationkey AS VARCHAR) AS nation
@@ -46,7 +46,7 @@ VIEW_SQL: dict[str, str] = {
     "v_recs": """
         SELECT CAST(o_orderkey AS VARCHAR) AS recommendation_id,
                CAST(o_custkey AS VARCHAR) AS user_id,
-               CAST(o_orderkey % 200 AS VARCHAR) AS movie_id, o_orderpriority AS algorithm,
+               CAST(o_orderkey % (SELECT count(*) FROM part) AS VARCHAR) AS movie_id, o_orderpriority AS algorithm,
                o_totalprice / 100000.0::DOUBLE AS score, o_orderdate AS generated_at,
                CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderdate + INTERVAL 1 DAY END
                    AS served_at,

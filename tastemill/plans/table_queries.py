@@ -18,14 +18,14 @@ from tastemill.streaming import jobs
     "scan_interactions_csv",
     f"""
     SELECT interaction_id, user_id, movie_id, interaction_type, rating, duration,
-           strftime(date_trunc('second', "timestamp"), '{MOMENT}') AS "timestamp" FROM v_events""",
+           strftime("timestamp", '{MOMENT}') AS "timestamp", metadata FROM v_events""",
 )
 def scan_interactions_csv(v: Views):
     path = scratch_folder(v.spark, "csv")
-    rows = v.events().drop("metadata").withColumn(
-        "timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    rows = v.events().withColumn(
+        "timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     )
-    rows.write.option("header", True).csv(path)
+    rows.write.option("header", True).option("escape", '"').csv(path)
     return files.scan_interactions_csv(v.spark, path).withColumn("timestamp", moment("timestamp"))
 
 
@@ -34,18 +34,18 @@ def scan_interactions_csv(v: Views):
     """
     SELECT movie_id, title, array_to_string(genres, '|') AS genres,
            CAST(release_year AS DOUBLE) AS release_year, round(imdb_rating, 6) AS imdb_rating,
-           country FROM v_movies""",
+           country, description FROM v_movies""",
 )
 def scan_metadata_json(v: Views):
     path = scratch_folder(v.spark, "json")
-    v.movies().drop("description").write.json(path)
+    v.movies().write.json(path)
     out = clean.clean_metadata(
         files.scan_metadata_json(v.spark, path, lines=True), ["position"], fill=False
     )
     # list-valued genres arrive as JSON text, hence the quotes parse_genres strips
     return out.select(
         "movie_id", "title", F.array_join("genres", "|").alias("genres"), "release_year",
-        r6("imdb_rating"), "country",
+        r6("imdb_rating"), "country", "description",
     )
 
 
@@ -121,13 +121,33 @@ def append_recommendations(v: Views):
     )
 
 
-@query("save_factors")
+@query(
+    "save_factors",
+    """
+    SELECT count(DISTINCT user_id) AS users, count(DISTINCT movie_id) AS movies, 50 AS factors,
+           count(*) AS cells, true AS better_than_offsets, true AS in_range
+    FROM v_ecells""",
+)
 def save_factors(v: Views):
+    """Saved and loaded again, the model predicts its cells better than the offsets alone."""
     known = matrix.rated_cells(v.events())
     path = scratch_folder(v.spark, "factors")
-    tables.save_factors(mf.mf_fit(known, factors=10, iterations=5), path, AS_OF_EVENTS)
+    tables.save_factors(mf.mf_fit(known), path, AS_OF_EVENTS)
     model = tables.load_factors(v.spark, path)
-    return model.items.select("movie_id", F.size("features").alias("factors"), "bias")
+    pairs = known.select("user_id", "movie_id")
+    scores = mf.mf_predict(model, pairs)
+    fit, offsets = mf.rmse(scores, known), mf.rmse(mf.bias_predict(known, pairs), known)
+    sizes = model.items.agg(
+        F.count(F.lit(1)).alias("movies"), F.max(F.size("features")).alias("factors")
+    )
+    return sizes.select(
+        model.users.agg(F.count(F.lit(1))).scalar().alias("users"),
+        "movies",
+        "factors",
+        fit.select("cells").scalar().alias("cells"),
+        (fit.select("rmse").scalar() < offsets.select("rmse").scalar()).alias("better_than_offsets"),
+        scores.agg(F.every(F.col("score").between(0, 5))).scalar().alias("in_range"),
+    )
 
 
 @query(
@@ -232,7 +252,7 @@ def delete_users_cascade(v: Views):
 @query(
     "apply_feedback",
     f"""
-    WITH f AS (SELECT CAST(event_id % 5000 AS VARCHAR) AS recommendation_id, min(ts) AS served_at,
+    WITH f AS (SELECT CAST(event_id AS VARCHAR) AS recommendation_id, min(ts) AS served_at,
                       bool_or(event_type = 'click') AS clicked FROM events GROUP BY 1)
     SELECT r.recommendation_id, strftime(coalesce(f.served_at, r.served_at), '{MOMENT}')
                AS served_at,
@@ -241,7 +261,7 @@ def delete_users_cascade(v: Views):
 )
 def apply_feedback(v: Views):
     feedback = v.table("events").select(
-        (F.col("event_id") % 5000).cast("string").alias("recommendation_id"),
+        F.col("event_id").cast("string").alias("recommendation_id"),
         F.col("ts").alias("served_at"),
         (F.col("event_type") == "click").alias("clicked"),
     )
@@ -252,14 +272,29 @@ def apply_feedback(v: Views):
 # streams ---------------------------------------------------------------------
 
 
-def event_stream(v: Views):
-    """The events table as a file stream, shaped like ``v_events``."""
-    schema = v.table("events").schema
-    # a file stream watches a folder; the filter picks the one table in it
+STREAM_SLICES = 3
+
+
+def event_stream(v: Views, in_order: bool = False):
+    """The events table as a file stream of several micro-batches, shaped like ``v_events``.
+
+    The slices take turns through the ids, so every batch after the first brings
+    rows far older than those before; ``in_order`` slices by time instead.
+    """
+    path = scratch_folder(v.spark, "feed")
+    events = v.table("events")
+    slices = [F.col("event_id") % STREAM_SLICES == k for k in range(STREAM_SLICES)]
+    if in_order:
+        thirds = [F.percentile_approx("ts", k / STREAM_SLICES) for k in range(1, STREAM_SLICES)]
+        low, high = events.agg(*thirds).first()
+        slices = [F.col("ts") < low, (F.col("ts") >= low) & (F.col("ts") < high), F.col("ts") >= high]
+    for part in slices:
+        events.where(part).write.mode("append").parquet(path)
+    files = len(v.spark.read.schema(events.schema).parquet(path).inputFiles())
     source = (
-        v.spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(v.folder)
+        v.spark.readStream.schema(events.schema)
+        .option("maxFilesPerTrigger", -(-files // STREAM_SLICES))
+        .parquet(path)
     )
     shaped = Views(v.spark, v.folder)
     shaped._tables["events"] = source
@@ -327,7 +362,7 @@ def user_profile_running(v: Views):
 @query("stream_user_profile", PROFILE_SQL)
 def stream_user_profile(v: Views):
     path = scratch_folder(v.spark, "stream")
-    finished(jobs.stream_user_profile(event_stream(v), f"{path}/log", f"{path}/checkpoint"))
+    finished(jobs.stream_user_profile(event_stream(v, in_order=True), f"{path}/log", f"{path}/checkpoint"))
     out = jobs.newest_profiles(v.spark.read.parquet(f"{path}/log"))
     return out.withColumn("avg_rating", r6("avg_rating"))
 
@@ -344,10 +379,8 @@ def windowed_rate(v: Views):
     requests = event_stream(v).select(
         F.col("interaction_id").alias("request_id"), F.col("user_id").alias("client"), "timestamp"
     )
-    finished(
-        jobs.stream_windowed_rate(requests, f"{path}/out", f"{path}/checkpoint", 2, "1 hour")
-    )
-    out = jobs.newest_rates(v.spark.read.parquet(f"{path}/out"))
+    finished(jobs.stream_windowed_rate(requests, f"{path}/log", f"{path}/checkpoint", "1 hour"))
+    out = jobs.over_limit(v.spark.read.parquet(f"{path}/log"), 2)
     return out.withColumn("window_start", moment("window_start"))
 
 

@@ -20,6 +20,8 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int | None = None) ->
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # joins that multiply small inputs keep all cores busy
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         # hash joins where every partition's measured size is small enough
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "256MB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -40,21 +40,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+# quotes inside quoted fields are doubled; headers must agree with the schema
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "enforceSchema": "false"}
+
+
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(**CSV_OPTIONS).csv(path).columns
 
 
-def scan_interactions_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_interactions_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Interactions with a header row; all columns are read as text, then typed.
 
-    Values that do not parse become NULL. Raises when a required column is missing.
+    Values that do not parse become NULL. Raises when a required column is
+    missing, and when reading a file whose header differs from the first one's.
+    ``multiline`` admits line breaks inside quoted fields; a file is then one task.
     """
     names = csv_columns(spark, path)
     absent = missing_headers(names)
     if absent:
         raise ValueError(f"missing columns: {', '.join(absent)}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).option("header", True).csv(path)
+    rows = spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=multiline).csv(path)
     typed = {"rating": coerce_double("rating")}
     if "duration" in names:
         typed["duration"] = coerce_double("duration")

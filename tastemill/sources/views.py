@@ -9,7 +9,6 @@ from tastemill.functions.skew import widen_scan
 
 AS_OF_LOG = "2001-08-02 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
-DOC_MODULUS = 200
 
 
 class Views:
@@ -63,11 +62,7 @@ class Views:
             F.col("doc_id").alias("doc_key"), F.col("text").alias("description")
         )
         part = self.table("part")
-        # only the first DOC_MODULUS documents can match, a fixed number of rows
-        docs = F.broadcast(docs.where(F.col("doc_key") < DOC_MODULUS))
-        return part.join(
-            docs, F.pmod(part.p_partkey, F.lit(DOC_MODULUS)) == docs.doc_key, "left"
-        ).select(
+        return part.join(docs, part.p_partkey == docs.doc_key, "left").select(
             F.col("p_partkey").cast("string").alias("movie_id"),
             F.col("p_name").alias("title"),
             F.split("p_name", " ").alias("genres"),
@@ -91,10 +86,11 @@ class Views:
 
     def recs(self) -> DataFrame:
         status = F.col("o_orderstatus")
+        movies = self.table("part").agg(F.count(F.lit(1))).scalar()
         return self.table("orders").select(
             F.col("o_orderkey").cast("string").alias("recommendation_id"),
             F.col("o_custkey").cast("string").alias("user_id"),
-            F.pmod(F.col("o_orderkey"), F.lit(200)).cast("string").alias("movie_id"),
+            F.pmod(F.col("o_orderkey"), movies).cast("string").alias("movie_id"),
             F.col("o_orderpriority").alias("algorithm"),
             (F.col("o_totalprice") / F.lit(100000.0).cast("double")).alias("score"),
             F.col("o_orderdate").alias("generated_at"),

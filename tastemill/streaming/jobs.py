@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,30 +23,46 @@ def _batch_folder(folder: str, batch_id: int) -> str:
     return f"{folder}/batch_id={batch_id}"
 
 
+def _stored_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """Rows that other micro-batches have written; None if there are none yet."""
+    try:
+        return spark.read.parquet(folder).where(F.col("batch_id") != batch_id)
+    except AnalysisException:
+        return None
+
+
 def stream_interactions(
-    events: DataFrame,
-    good: str,
-    quarantine: str,
-    checkpoint: str,
-    watermark: str = "1 hour",
-    once: bool = True,
+    events: DataFrame, good: str, quarantine: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
     """Check arriving interactions and store good and broken rows apart.
 
-    Repeated ids within the watermark are dropped; state is bounded by it.
+    Every row ends up in one place: rows that break a rule or have no id in
+    quarantine, rows whose id was stored before for the same day are repeats, all
+    others, however late, are stored. Good rows are kept by day, so a batch only
+    looks into the days it brings.
     """
-    unique = events.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(
-        ["interaction_id"]
-    )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        checked = interaction_rules(batch).persist()
+        ruled = interaction_rules(batch)
+        no_id = F.when(F.col("interaction_id").isNull(), F.array(F.lit("interaction_id_missing")))
+        checked = ruled.withColumn(
+            "violations",
+            F.concat("violations", F.coalesce(no_id, F.array().cast("array<string>"))),
+        ).persist()
         ok, broken = split_valid(checked)
-        ok.write.mode("overwrite").parquet(_batch_folder(good, batch_id))
+        day = F.date_format("timestamp", "yyyy-MM-dd")
+        fresh = ok.withColumn("day", F.coalesce(day, F.lit("none"))).dropDuplicates(
+            ["interaction_id", "day"]
+        )
+        before = _stored_before(batch.sparkSession, good, batch_id)
+        if before is not None:
+            known = before.select("interaction_id", F.col("day").cast("string").alias("day"))
+            fresh = fresh.join(known, ["interaction_id", "day"], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(_batch_folder(good, batch_id))
         broken.write.mode("overwrite").parquet(_batch_folder(quarantine, batch_id))
         checked.unpersist()
 
-    return _start(unique.writeStream.foreachBatch(store), checkpoint, once)
+    return _start(events.writeStream.foreachBatch(store), checkpoint, once)
 
 
 def stream_user_statistics(
@@ -183,27 +200,32 @@ def user_profile_running(interactions: DataFrame) -> DataFrame:
     )
 
 
-def windowed_rate(
-    requests: DataFrame, limit: int = RATE_LIMIT, window: str = RATE_WINDOW, late: str = "10 minutes"
-) -> DataFrame:
-    """Requests per client and fixed window with the number over the limit.
-
-    Works on a stream (bounded by the watermark) and on a table.
-    """
+def window_counts(requests: DataFrame, window: str = RATE_WINDOW) -> DataFrame:
+    """Requests per client and fixed window."""
     timed = requests.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    if timed.isStreaming:
-        timed = timed.withWatermark("timestamp", late)
-    counts = timed.groupBy("client", F.window("timestamp", window).alias("w")).agg(
-        F.count(F.lit(1)).alias("requests")
+    return (
+        timed.groupBy("client", F.window("timestamp", window).alias("w"))
+        .agg(F.count(F.lit(1)).alias("requests"))
+        .select("client", F.col("w.start").alias("window_start"), "requests")
     )
-    return counts.select(
-        "client",
-        F.col("w.start").alias("window_start"),
-        "requests",
-        F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"),
+
+
+def over_limit(counts: DataFrame, limit: int = RATE_LIMIT) -> DataFrame:
+    """Sum counts per client and window; the part above the limit is rejected."""
+    return (
+        counts.groupBy("client", "window_start")
+        .agg(F.sum("requests").alias("requests"))
+        .withColumn("rejected", F.greatest(F.col("requests") - limit, F.lit(0)))
     )
 
 
+def windowed_rate(
+    requests: DataFrame, limit: int = RATE_LIMIT, window: str = RATE_WINDOW
+) -> DataFrame:
+    """Requests per client and fixed window with the number over the limit."""
+    return over_limit(window_counts(requests, window), limit)
+
+
 def windowed_rate_limit(
     requests: DataFrame, limit: int = RATE_LIMIT, window: str = RATE_WINDOW
 ) -> DataFrame:
@@ -215,26 +237,19 @@ def windowed_rate_limit(
 
 
 def stream_windowed_rate(
-    requests: DataFrame,
-    out: str,
-    checkpoint: str,
-    limit: int = RATE_LIMIT,
-    window: str = RATE_WINDOW,
-    once: bool = True,
+    requests: DataFrame, log: str, checkpoint: str, window: str = RATE_WINDOW, once: bool = True
 ) -> StreamingQuery:
-    counts = windowed_rate(requests, limit, window)
+    """Log the counts of each micro-batch; :func:`over_limit` sums the log.
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
-
-    return _start(counts.writeStream.outputMode("update").foreachBatch(store), checkpoint, once)
+    Batches count on their own, so there is no state to bound and a request is
+    counted however late it comes.
+    """
 
+    def store(batch: DataFrame, batch_id: int) -> None:
+        counts = window_counts(batch, window)
+        counts.write.mode("overwrite").parquet(_batch_folder(log, batch_id))
 
-def newest_rates(out: DataFrame) -> DataFrame:
-    newest = out.groupBy("client", "window_start").agg(
-        F.max_by(F.struct("requests", "rejected"), "batch_id").alias("last")
-    )
-    return newest.select("client", "window_start", "last.*")
+    return _start(requests.writeStream.foreachBatch(store), checkpoint, once)
 
 
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:

@@ -64,3 +64,11 @@ def test_genres_given_as_list(spark):
     df = spark.createDataFrame([([" a ", "b"],), (None,)], "genres array<string>")
     got = [r[0] for r in df.select(clean.genres_as_array(df)).collect()]
     assert got == [["a", "b"], []]
+
+
+def test_missing_titles_take_the_most_frequent(spark, rows):
+    movies = spark.createDataFrame(
+        [("1", "Up"), ("2", "Up"), ("3", None), ("4", "Heat")], "movie_id string, title string"
+    )
+    out = clean.clean_metadata(movies)
+    assert rows(out, "movie_id", "title", "title_clean")[2] == ("3", "Up", "up")

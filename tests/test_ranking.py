@@ -56,8 +56,8 @@ def test_salted_join_equals_join(spark, rows):
     left = spark.createDataFrame([("h" if i % 3 else f"k{i}", i) for i in range(60)], "k string, a int")
     right = spark.createDataFrame([("h", 1), ("h", 2), ("k3", 3), ("k9", 4)], "k string, b int")
     hot = skew.hot_keys(left, "k", share=0.1, floor=0)
-    assert rows(hot) == [("h",)]
-    salted = skew.salted_join(left, right, "k", hot, ["a"], salts=4)
+    assert rows(hot) == [("h", 40)]
+    salted = skew.salted_join(left, right, "k", hot, ["a"])
     assert rows(salted, "k", "a", "b") == rows(left.join(right, "k"), "k", "a", "b")
 
 
@@ -66,3 +66,38 @@ def test_key_counts(spark):
     counts = skew.key_counts(df, "user_id", "movie_id")
     assert counts.total == 3 and counts.largest == {"user_id": 2, "movie_id": 2}
     assert not counts.has_hot("user_id")
+
+
+def test_numbers_of_sorted_values(spark):
+    values = [("b",), (None,), ("é",), ("a",), ("b",)] + [(f"x{i:04d}",) for i in range(500)]
+    got = ranking.dense_index(spark.createDataFrame(values, "k string"), "k").collect()
+    want = sorted({v for v, in values if v is not None}, key=lambda v: v.encode())
+    assert {r.k: r.idx for r in got} == {k: i for i, k in enumerate(want)}
+
+
+def test_adaptive_execution_splits_a_skewed_join(spark):
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+    }
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 3 > 0, F.lit("h")).otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"),
+            F.col("id").alias("a"),
+        )
+        right = spark.range(0, 98, 1, 2).select(
+            F.when(F.col("id") == 97, F.lit("h")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"),
+            F.col("id").alias("b"),
+        )
+        out = skew.salted_join(left, right, "k", None, ["a"])
+        assert len(out.collect()) == 60_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

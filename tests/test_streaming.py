@@ -34,13 +34,35 @@ def test_interactions_are_split_and_replayed_once(spark, feed):
     events, stream, folder = feed
     for _ in range(2):  # the second run finds nothing new
         jobs.stream_interactions(
-            stream, f"{folder}/good", f"{folder}/bad", f"{folder}/c", watermark="1 day"
+            stream, f"{folder}/good", f"{folder}/bad", f"{folder}/c"
         ).awaitTermination()
     good, bad = spark.read.parquet(f"{folder}/good"), spark.read.parquet(f"{folder}/bad")
     assert good.count() + bad.count() == 120
     assert bad.count() == events.where("rating > 5").count() > 0
 
 
+def test_late_rows_and_rows_without_id_are_kept(spark, tmp_path):
+    row = lambda i, day, rating=3.0: (i, "u", "m", "rating", rating, None, day * 86_400)
+    files = [
+        [row("a", 40), row("b", 40), row(None, 40), row(None, 41)],
+        [row("a", 40), row("c", 1), row("d", 2, 9.0), row(None, 1)],  # a repeat, and long past
+        [row("c", 1), row("e", 39), row("e", 39), row("f", 0), ("g", "u", "m", "rating", 1.0, None, None)],
+    ]
+    folder = str(tmp_path / "in")
+    for rows in files:
+        spark.createDataFrame(rows, SCHEMA.replace("timestamp timestamp", "s long")).withColumn(
+            "timestamp", F.timestamp_seconds("s")
+        ).drop("s").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.stream_interactions(stream, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/c").awaitTermination()
+    good = [r.interaction_id for r in spark.read.parquet(f"{tmp_path}/good").collect()]
+    bad = [(r.interaction_id, tuple(r.violations)) for r in spark.read.parquet(f"{tmp_path}/bad").collect()]
+    assert sorted(good) == ["a", "b", "c", "e", "f", "g"]
+    assert sorted(bad, key=str) == [("d", ("rating_out_of_range",))] + [(None, ("interaction_id_missing",))] * 3
+    repeats = 3  # a, c, e
+    assert len(good) + len(bad) + repeats == sum(map(len, files))
+
+
 def test_statistics_equal_batch(spark, feed):
     events, stream, folder = feed
     jobs.stream_user_statistics(stream, f"{folder}/log", f"{folder}/c").awaitTermination()
@@ -72,11 +94,15 @@ def test_rates(spark, feed):
     as_requests = lambda df: df.select(
         F.col("interaction_id").alias("request_id"), F.col("user_id").alias("client"), "timestamp"
     )
-    jobs.stream_windowed_rate(
-        as_requests(stream), f"{folder}/out", f"{folder}/c", 3, "5 minutes"
-    ).awaitTermination()
-    got = {tuple(r) for r in jobs.newest_rates(spark.read.parquet(f"{folder}/out")).collect()}
+    late_first = spark.read.parquet(f"{folder}/in").orderBy(F.desc("timestamp"))
+    late_first.coalesce(1).write.parquet(f"{folder}/late")
+    for name in ("in", "late"):
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+        jobs.stream_windowed_rate(
+            as_requests(source), f"{folder}/log-{name}", f"{folder}/c-{name}", "5 minutes"
+        ).awaitTermination()
+        got = {tuple(r) for r in jobs.over_limit(spark.read.parquet(f"{folder}/log-{name}"), 3).collect()}
+        assert got == {tuple(r) for r in jobs.windowed_rate(as_requests(events), 3, "5 minutes").collect()}
     batch = jobs.windowed_rate(as_requests(events), 3, "5 minutes")
-    assert got == {tuple(r) for r in batch.collect()}
     over = jobs.windowed_rate_limit(as_requests(events), 3, "5 minutes").count()
     assert over == sum(r.rejected for r in batch.collect()) > 0

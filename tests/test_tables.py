@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tastemill.operators import catalog, maintenance, mf
 from tastemill.plans import workflows
-from tastemill.sources import tables
+from tastemill.sources import files, tables
 
 
 def test_write_read_and_skip(spark, tmp_path, rows):
@@ -144,3 +144,28 @@ def test_workflow_end_to_end(spark, tmp_path):
         recs = workflows.recommend(spark, store, users, algorithm, 2, "2020-02-02 00:00:00").collect()
         assert {r.user_id for r in recs} == {"u0", "u1"} and all(r.title for r in recs)
     assert spark.read.parquet(f"{store}/recommendations").count() > 0
+
+
+def test_csv_with_doubled_quotes_and_line_breaks(spark, tmp_path):
+    text = (
+        "user_id,movie_id,rating,timestamp,metadata\n"
+        'u1,m1,4,2024-01-01T00:00:00,"{""k"": 1, ""z"": 2}"\n'
+        'u2,m2,3,2024-01-02T00:00:00,"two\nlines"\n'
+    )
+    (tmp_path / "a.csv").write_text(text)
+    got = files.scan_interactions_csv(spark, str(tmp_path / "a.csv"), multiline=True).orderBy("user_id").collect()
+    assert [r.metadata for r in got] == ['{"k": 1, "z": 2}', "two\nlines"]
+    assert all(r.timestamp is not None for r in got)
+
+
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("user_id,movie_id,rating\nu1,m1,4\n")
+    (tmp_path / "b.csv").write_text("movie_id,user_id,rating\nm2,u2,4\n")
+    with pytest.raises(Exception, match="header"):
+        files.scan_interactions_csv(spark, str(tmp_path)).collect()
+
+
+def test_hashed_ids_tell_missing_values_apart(spark):
+    rows = spark.createDataFrame([(None, "a"), ("a", None), ("", "a")], "x string, y string")
+    ids = rows.select(maintenance.natural_key("x", "y").alias("id")).collect()
+    assert len({r.id for r in ids}) == 3
