@@ -391,3 +391,87 @@ def mf_recommend(v: Views):
 @query("mf_similar_items")
 def mf_similar_items(v: Views):
     return mf.mf_similar_items(mf.mf_fit(cells(v)))
+
+
+# factor tables given by the vectors: even ids are users, odd ids are movies
+GIVEN_SQL = """
+    u AS (SELECT CAST(vec_id AS VARCHAR) AS user_id, vec_id AS n, CAST(embedding AS DOUBLE[]) AS p,
+                 label / 10.0::DOUBLE AS b FROM embeddings WHERE vec_id % 2 = 0),
+    m AS (SELECT CAST(vec_id AS VARCHAR) AS movie_id, vec_id AS n, CAST(embedding AS DOUBLE[]) AS q,
+                 label / 5.0::DOUBLE AS c FROM embeddings WHERE vec_id % 2 = 1),
+    rated AS (SELECT u.user_id, m.movie_id FROM u JOIN m ON m.n = u.n + 1),
+    scored AS (SELECT user_id, movie_id,
+                      least(5.0::DOUBLE, greatest(0.0::DOUBLE,
+                          2.0::DOUBLE + b + c + list_dot_product(p, q))) AS score FROM u, m)"""
+
+
+def given_factors(v: Views) -> mf.Factors:
+    vectors = v.vectors().withColumn("n", F.col("movie_id").cast("long"))
+    label = F.col("genre").cast("double")
+    users = vectors.where("n % 2 = 0").select(
+        F.col("movie_id").alias("user_id"), F.col("vector").alias("features"),
+        (label / 10.0).alias("bias"),
+    )
+    movies = vectors.where("n % 2 = 1").select(
+        "movie_id", F.col("vector").alias("features"), (label / 5.0).alias("bias")
+    )
+    return mf.Factors(users, movies, v.spark.range(1).select(F.lit(2.0).alias("mean")))
+
+
+def given_cells(v: Views):
+    """Every user has rated the movie whose vector comes next."""
+    model = given_factors(v)
+    users = model.users.select(
+        "user_id", (F.col("user_id").cast("long") + 1).cast("string").alias("movie_id")
+    )
+    return users.join(model.items.select("movie_id"), "movie_id", "left_semi").select(
+        "user_id", "movie_id"
+    )
+
+
+@query(
+    "mf_predict_given",
+    f"""
+    WITH {GIVEN_SQL}
+    SELECT user_id, movie_id, round(score, 6) AS score FROM scored
+    JOIN rated USING (user_id, movie_id)
+    UNION ALL SELECT movie_id, user_id, 0.0::DOUBLE FROM rated""",
+)
+def mf_predict_given(v: Views):
+    """Known pairs, and pairs of an unknown user and movie."""
+    pairs = given_cells(v)
+    swapped = pairs.select(F.col("movie_id").alias("user_id"), F.col("user_id").alias("movie_id"))
+    out = mf.mf_predict(given_factors(v), pairs.unionByName(swapped))
+    return out.withColumn("score", r6("score"))
+
+
+@query(
+    "mf_recommend_given",
+    f"""
+    WITH {GIVEN_SQL},
+    open AS (SELECT s.* FROM scored s ANTI JOIN rated r
+             ON s.user_id = r.user_id AND s.movie_id = r.movie_id),
+    t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, movie_id)
+                 AS rank FROM open WHERE score > 0)
+    SELECT user_id, movie_id, round(score, 6) AS score, rank FROM t WHERE rank <= 10""",
+)
+def mf_recommend_given(v: Views):
+    out = mf.mf_recommend(given_factors(v), given_cells(v))
+    return out.select("user_id", "movie_id", r6("score"), F.col("rank").cast("bigint"))
+
+
+@query(
+    "mf_similar_items_given",
+    f"""
+    WITH {GIVEN_SQL},
+    s AS (SELECT a.movie_id, b.movie_id AS similar_id,
+                 list_dot_product(a.q, b.q)
+                 / (sqrt(list_dot_product(a.q, a.q)) * sqrt(list_dot_product(b.q, b.q))) AS score
+          FROM m a JOIN m b ON a.movie_id <> b.movie_id),
+    t AS (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY round(score, 9) DESC, similar_id)
+                 AS rank FROM s)
+    SELECT movie_id, similar_id, round(score, 6) AS score, rank FROM t WHERE rank <= 10""",
+)
+def mf_similar_items_given(v: Views):
+    out = mf.mf_similar_items(given_factors(v))
+    return out.select("movie_id", "similar_id", r6("score"), F.col("rank").cast("bigint"))
