@@ -310,7 +310,9 @@ def convert(manifest: DataFrame, arc_folder: str, folder: str) -> DataFrame:
                 out.write(gzip.compress(converted(record, digest, to), LEVEL))
         return pd.DataFrame({"file": [out_name], "records": [len(lines)]})
 
-    lines = decided.withColumn("to_key", F.col("to_key").cast("string"))
+    # the lines are few bytes, the files behind them are not: keep one task per few files
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = decided.withColumn("to_key", F.col("to_key").cast("string")).repartition(tasks, "file")
     return stored(
         lines.groupBy("file").applyInPandas(write, "file string, records long"), "warc-manifest"
     )
