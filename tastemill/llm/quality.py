@@ -4,7 +4,8 @@ Every document is measured once. Failures are summed per host (the ``source``
 column), the failure rate of each host is shrunk towards what all hosts show by
 a beta prior estimated from the hosts themselves, and the verdict about the
 host goes back to its documents: a rule that is too weak to reject a document
-on its own does so in a host that is known to fail it.
+on its own does so in a host that is known to fail it. :func:`assess` has the
+verdict alone; :func:`keep_good` weighs it against how far a document fails.
 """
 
 from __future__ import annotations
@@ -132,6 +133,7 @@ def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         m("n_words").alias("n_words"),
         m("word_chars").alias("word_chars"),
         m("n_symbols").alias("n_symbols"),
+        m("by_line.lines").alias("n_lines"),
         m("by_line.repeated").alias("n_dup_lines"),
         m("n_repeat_words").alias("n_repeat_words"),
         base.alias("base_failed"),
@@ -140,7 +142,8 @@ def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 
 def host_verdicts(found: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per host: ``flags`` says for each soft rule whether the host fails it.
+    """One row per host: for each soft rule ``rates`` has the host's shrunken failure
+    rate, ``flags`` says whether the host fails it.
 
     With f failures in n documents the shrunken rate is (f + mk) / (n + k): m is
     the rate over all hosts, k the prior's weight by the method of moments from
@@ -168,18 +171,57 @@ def host_verdicts(found: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     ).select(F.struct(*SOFT_RULES).alias("spread"))
     table = with_mean.withColumn("spread", spread.scalar())
 
-    def flagged(r: str) -> Column:
+    def rate(r: str) -> Column:
         mean, var = F.col(f"mean.{r}"), F.col(f"spread.{r}")
         weight = F.when(var > 0, mean * (1 - mean) / var - 1).otherwise(F.lit(PRIOR_DOCS[1]))
         k = F.least(F.lit(PRIOR_DOCS[1]), F.greatest(F.lit(PRIOR_DOCS[0]), weight))
-        return (F.col(r) + mean * k) / (F.col("n") + k) > limit
+        return (F.col(r) + mean * k) / (F.col("n") + k)
 
     return stored(
-        table.select("host", F.struct(*[flagged(r).alias(r) for r in SOFT_RULES]).alias("flags")),
+        table.select(
+            "host",
+            F.struct(*[rate(r).alias(r) for r in SOFT_RULES]).alias("rates"),
+            F.struct(*[(rate(r) > limit).alias(r) for r in SOFT_RULES]).alias("flags"),
+        ),
         "host-verdicts",
     )
 
 
+def _excess(r: str) -> Column:
+    """How far a document is beyond a soft rule's limit; it fails above 1."""
+    words_, chars = F.col("n_words"), F.col("word_chars")
+    if r == "symbols":
+        return F.try_divide(10 * F.col("n_symbols"), words_)
+    if r == "lines":  # a share of lines: its odds by the limit's odds
+        return F.try_divide(7 * F.col("n_dup_lines"), 3 * (F.col("n_lines") - F.col("n_dup_lines")))
+    return F.greatest(F.try_divide(2 * words_, chars), F.try_divide(chars, 15 * words_))
+
+
+def outweighed(limit: float = HOST_LIMIT) -> Column:
+    """Whether a soft rule that a document fails rejects it, by posterior odds.
+
+    The prior odds are those of the host's shrunken rate; the square of the
+    document's excess multiplies them; what is above the odds of ``limit`` goes.
+    A host at the limit loses all that fails, as in :func:`assess`; a better
+    host loses what is further beyond the rule.
+    """
+    rejected = F.lit(False)
+    for r in SOFT_RULES:
+        rate = F.col(f"rates.{r}")
+        above = F.pow(_excess(r), 2.0) * rate * (1 - limit) > limit * (1 - rate)
+        rejected = rejected | (
+            F.col(f"fails.{r}") & (F.col(f"flags.{r}") | F.coalesce(above, F.lit(False)))
+        )
+    return rejected
+
+
+def judged(docs: DataFrame, limit: float = HOST_LIMIT, carry: list[str] | None = None) -> DataFrame:
+    """The measured documents with the ``rates`` and ``flags`` of their hosts."""
+    found = stored(measured(docs, carry), "measured")
+    verdicts = host_verdicts(found, limit).withColumnRenamed("host", "of_host")
+    return found.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left")
+
+
 def assess(
     docs: DataFrame, limit: float = HOST_LIMIT, carry: list[str] | None = None
 ) -> DataFrame:
@@ -196,13 +238,12 @@ def assess(
     them. The verdicts are one small row per host; the planner broadcasts them
     if their files are small and else joins by host, splitting hot ones.
     """
-    found = stored(measured(docs, carry), "measured")
-    verdicts = host_verdicts(found, limit).withColumnRenamed("host", "of_host")
+    found = judged(docs, limit, carry)
     hit = lambda r: F.col(f"fails.{r}") & F.coalesce(F.col(f"flags.{r}"), F.lit(False))
     rejected, flagged = F.lit(False), F.lit(False)
     for r in SOFT_RULES:
         rejected, flagged = rejected | hit(r), flagged | F.coalesce(F.col(f"flags.{r}"), F.lit(False))
-    return found.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left").select(
+    return found.select(
         "row",
         "n_words",
         "word_chars",
@@ -216,5 +257,8 @@ def assess(
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that :func:`assess` keeps, with their own columns."""
-    return assess(docs).where("kept").select("row.*")
+    """The documents that pass the base rules and are not outweighed, with their own columns.
+
+    Keeps no document that :func:`assess` rejects.
+    """
+    return judged(docs).where(~F.col("base_failed") & ~outweighed()).select("row.*")

@@ -58,6 +58,20 @@ def test_keep_good_returns_the_documents(docs_of):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_heavy_failures_go_in_ordinary_hosts_and_borderline_ones_only_in_bad_hosts(docs_of):
+    host = lambda start, name, bad: [
+        (start + i, prose(30, 50 * i) + (" ####" if i < bad else ""), name) for i in range(50)
+    ]
+    ordinary = [row for h in range(5) for row in host(100 * h, f"h{h}", 3)]
+    worse = host(600, "worse", 40)
+    heavy = (900, " ".join(w + "$$$" for w in prose(30).split()), "h0")
+    lines = [(901 + i, prose(20, 30 * i) + "\nsame" * 3 + "\nother", "h1") for i in range(2)]
+    docs = docs_of(*ordinary, *worse, heavy, *lines, (910, None, "h2"), (911, "\n", "h2"))
+    assert quality.assess(docs, carry=["doc_id"]).where("row.doc_id = 900").first()["kept"]
+    kept = {r["doc_id"] for r in quality.keep_good(docs).collect()}
+    assert kept == {i for i, *_ in ordinary + worse[40:] + lines}
+
+
 @pytest.mark.parametrize("n", [1, 4, 5, 6, 9])
 def test_windows_at_the_edges(docs_of, n):
     text = " ".join(["w"] * n)
