@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tastemill.llm.common import let
 
-# Sentences of public licence texts and notices, normalised.
+# Sentences of public licence texts and notices, normalised. Where a
+# blank line or a list cuts the text, or does not, both forms are here.
 SENTENCES = {
     "mit-title": ("mit license", "the mit license", "the mit license mit"),
     "mit-grant": (
@@ -25,6 +26,19 @@ SENTENCES = {
         " furnished to do so subject to the following conditions the above copyright notice and this"
         " permission notice shall be included in all copies or substantial portions of the software",
     ),
+    "mit-permission": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software"
+        " and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute"
+        " sublicense and or sell copies of the software and to permit persons to whom the software is"
+        " furnished to do so subject to the following conditions",
+    ),
+    "mit-clause": (
+        "the above copyright notice and this permission notice shall be included in all copies or"
+        " substantial portions of the software",
+        "the above copyright notice and this permission notice including the next paragraph shall be"
+        " included in all copies or substantial portions of the software",
+    ),
     "mit-warranty": (
         "the software is provided as is without warranty of any kind express or implied including but"
         " not limited to the warranties of merchantability fitness for a particular purpose and"
@@ -44,11 +58,27 @@ SENTENCES = {
     "apache-limit": (
         "you may not use this file except in compliance with the license",
     ),
-    "apache-copy": ("you may obtain a copy of the license at http www apache org licenses license 2 0",),
+    "apache-copy": (
+        "you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "you may obtain a copy of the license at https www apache org licenses license 2 0",
+    ),
+    "apache-obtain": ("you may obtain a copy of the license at",),
+    "apache-url": (
+        "http www apache org licenses license 2 0",
+        "https www apache org licenses license 2 0",
+    ),
     "bsd-title": ("bsd license", "the bsd license", "licensed under the bsd license"),
     "bsd-grant": (
         "redistribution and use in source and binary forms with or without modification are permitted"
         " provided that the following conditions are met",
+        # the number of the first condition, in lists without blank lines
+        "redistribution and use in source and binary forms with or without modification are permitted"
+        " provided that the following conditions are met 1",
+    ),
+    "bsd-grant-source": (
+        "redistribution and use in source and binary forms with or without modification are permitted"
+        " provided that the following conditions are met redistributions of source code must retain"
+        " the above copyright notice this list of conditions and the following disclaimer",
     ),
     "bsd-source": (
         "redistributions of source code must retain the above copyright notice this list of conditions"
@@ -88,6 +118,8 @@ SENTENCES = {
     ),
     "mpl-notice": (
         "this source code form is subject to the terms of the mozilla public license v 2 0",
+        # cut after "v."; no other version has this wording
+        "this source code form is subject to the terms of the mozilla public license v",
     ),
     "cc-by-notice": ("licensed under cc by 4 0", "this work is licensed under cc by 4 0"),
     "cc-by-sa-notice": ("licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"),
@@ -97,9 +129,14 @@ SENTENCES = {
 RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-warranty")),
+    ("MIT", ("mit-title", "mit-permission", "mit-clause", "mit-warranty")),
+    ("MIT", ("mit-permission", "mit-clause", "mit-warranty")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+    ("BSD-3-Clause", ("bsd-grant-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("BSD-2-Clause", ("bsd-grant-source", "bsd-binary")),
     ("Apache-2.0", ("apache-notice", "apache-limit", "apache-copy")),
+    ("Apache-2.0", ("apache-notice", "apache-limit", "apache-obtain", "apache-url")),
     ("GPL-3.0-or-later", ("gpl3-grant", "gpl-copy")),
     ("GPL-2.0-or-later", ("gpl2-grant", "gpl-copy")),
     ("GPL-3.0-or-later", ("gpl3-grant",)),
