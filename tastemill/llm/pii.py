@@ -1,11 +1,13 @@
 """Personal data: fixed patterns, and identifiers found by the contexts they share.
 
-The fixed patterns give the seeds. A lexical pattern is the word to the left and
-the shape of what follows (letters as ``a``, digits as ``9``, runs shortened);
-an instance is the text that follows. Patterns and instances form a bipartite
-graph. A pattern is as sure as the share of its instances that are of a kind; an
-unseen instance is as sure as its patterns together; a few rounds of both, and
-what is sure enough is added.
+The fixed patterns give the seeds. A lexical pattern is the word to the left,
+alone or with the shape of what follows (letters as ``a``, digits as ``9``, runs
+shortened); an instance is the text that follows, of one or several words.
+Patterns and instances form a bipartite graph. A pattern is as sure as the share
+of its instances that are of a kind; an unseen instance is as sure as its
+patterns together; a few rounds of both, where the contexts of sure instances
+become patterns too, and what is sure enough is added. Instances hold a digit or
+an at sign; others are not looked for.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ PATTERNS = {
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 # Words that hold a digit or an at sign.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# Such words in a row, the later ones without letters: an identifier with blanks.
+RUN = CANDIDATE + r"(?:\x20[^\sA-Za-z0-9@]*+[0-9][^\sA-Za-z@]*+)++"
+# Stands for every shape.
+ANY = "*"
 # Code points looked at for the word to the left.
 CONTEXT = 64
 INSTANCE_CHARS = (5, 64)
@@ -66,7 +72,9 @@ def matches(text: Column, pattern: str) -> Column:
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         stop = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        left = F.regexp_extract(F.substring(x["gap"], -CONTEXT, CONTEXT), r"(\S+)\s*$", 1)
+        left = F.regexp_extract(
+            F.regexp_replace(F.substring(x["gap"], -CONTEXT, CONTEXT), r"[^\p{L}\p{N}]++$", ""), r"\S+$", 0
+        )
         one = F.struct(
             start.alias("start"),
             stop.alias("stop"),
@@ -100,18 +108,28 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.coalesce(p, none) for p in parts]))
 
 
-def candidates(text: Column) -> Column:
-    """Words that could be identifiers, without the punctuation around them."""
+def _trimmed(hits: Column) -> Column:
+    """Hits without the punctuation around them; a label glued to one is its left word.
+
+    A bracket stays before the area code it opens.
+    """
+
+    def cut(m: Column) -> Column:
+        label = F.regexp_extract(m["found"], "^[A-Za-z]++[:=]++(?=[^:=])", 0)
+        rest = F.substr(m["found"], F.length(label) + 1)
+        lead = F.regexp_extract(rest, r"^(?:\((?![0-9]{1,5}\)[\x20-])|[^A-Za-z0-9+(])*+", 0)
+        return F.struct(
+            (m["start"] + F.length(label) + F.length(lead)).alias("start"),
+            F.regexp_replace(
+                F.substr(rest, F.length(lead) + 1), "(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", ""
+            ).alias("found"),
+            F.when(label != "", F.lower(F.regexp_replace(label, "[:=]", ""))).otherwise(m["left"]).alias("left"),
+        )
+
     trimmed = F.transform(
-        matches(text, CANDIDATE),
+        hits,
         lambda m: let(
-            F.struct(
-                (m["start"] + F.length(F.regexp_extract(m["found"], "^[^A-Za-z0-9+]*+", 0))).alias("start"),
-                F.regexp_replace(
-                    m["found"], "^[^A-Za-z0-9+]++|(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", ""
-                ).alias("found"),
-                m["left"].alias("left"),
-            ),
+            cut(m),
             lambda s: F.struct(
                 s["start"].alias("start"), (s["start"] + F.length(s["found"])).alias("stop"),
                 s["found"].alias("found"), s["left"].alias("left"),
@@ -119,11 +137,37 @@ def candidates(text: Column) -> Column:
         ),
     )
     enough = lambda s: F.length(F.regexp_replace(s, "[^0-9]", "")) >= MIN_DIGITS
-    kept = F.filter(
+    return F.filter(
         trimmed,
         lambda s: F.length(s["found"]).between(*INSTANCE_CHARS) & (s["found"].contains("@") | enough(s["found"])),
     )
-    return F.when(text.rlike("[0-9@]"), kept)
+
+
+def _touches(spans: Column, s: Column) -> Column:
+    return F.exists(spans, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """What could be identifiers beside the base spans: runs of words, and single words.
+
+    ``whole`` is false for a word that is part of a run.
+    """
+    free = lambda hits: F.filter(hits, lambda s: ~_touches(base, s))
+
+    def both(runs: Column) -> Column:
+        flagged = lambda hits, whole: F.transform(
+            hits,
+            lambda s: F.struct(
+                s["start"].alias("start"), s["stop"].alias("stop"), s["found"].alias("found"),
+                s["left"].alias("left"), whole(s).alias("whole"),
+            ),
+        )
+        words = free(_trimmed(matches(text, CANDIDATE)))
+        return F.concat(
+            flagged(runs, lambda s: F.lit(True)), flagged(words, lambda s: ~_touches(runs, s))
+        )
+
+    return F.when(text.rlike("[0-9@]"), let(free(_trimmed(matches(text, RUN))), both))
 
 
 def shape(found: Column) -> Column:
@@ -133,66 +177,76 @@ def shape(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document, without its text: what the fixed patterns and words give."""
     text = F.coalesce("text", F.lit(""))
-    return stored(
-        docs.select(F.col("doc_id"), text.alias("t")).select(
-            "doc_id", F.xxhash64("t").alias("text_hash"),
-            base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("words"),
-        ),
-        "pii-scan",
+    found = docs.select(F.col("doc_id"), text.alias("t")).select(
+        "doc_id", "t", F.xxhash64("t").alias("text_hash"),
+        let(base_spans(F.col("t")), lambda b: F.struct(b.alias("base"), candidates(F.col("t"), b).alias("words"))).alias("f"),
     )
+    return stored(found.select("doc_id", "text_hash", "f.base", "f.words"), "pii-scan")
 
 
 def discovered(rows: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, start, kind, stop)`` of unseen identifiers."""
-    seeds = rows.select(F.inline("base")).select(
-        "left", shape(F.col("found")).alias("shape"), F.col("found").alias("value"), "kind"
-    ).where("left != ''").distinct()
-    # patterns with enough seeds of one kind, whatever else occurs in them
-    strong = stored(
-        seeds.groupBy("left", "shape", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS)
-        .select("left", "shape").distinct(),
-        "pii-strong",
+    key = ["left", "shape"]
+    # a known value is an instance of its left word with its shape, and with any
+    seeds = stored(
+        rows.select(F.inline("base")).where("left != ''")
+        .select(
+            "left", F.explode(F.array(shape(F.col("found")), F.lit(ANY))).alias("shape"),
+            F.col("found").alias("value"), "kind",
+        )
+        .distinct(),
+        "pii-seeds",
     )
-    seen = stored(seeds.join(strong, ["left", "shape"], "left_semi"), "pii-seeds")
-    words = stored(
-        rows.select("doc_id", "text_hash", F.inline("words"))
+    words = (
+        rows.select("doc_id", "text_hash", F.inline("words")).where("left != ''")
         .withColumn("shape", shape(F.col("found")))
+        .withColumn("shape", F.explode(F.when(F.col("whole"), F.array("shape", F.lit(ANY))).otherwise(F.array("shape"))))
         .withColumnRenamed("found", "value")
-        .join(strong, ["left", "shape"], "left_semi"),
-        "pii-words",
-    )
-    unseen = stored(
-        words.select("left", "shape", "value").distinct().join(seeds.select("value").distinct(), "value", "left_anti"),
-        "pii-unseen",
     )
-    sizes = (
-        seen.select("left", "shape", "value").unionByName(unseen).distinct()
-        .groupBy("left", "shape").agg(F.count(F.lit(1)).alias("size"))
+    edges = stored(
+        words.select(*key, "value").distinct().join(seeds.select("value").distinct(), "value", "left_anti"),
+        "pii-edges",
     )
-    by_seeds = seen.groupBy("left", "shape", "kind").agg(F.countDistinct("value").cast("double").alias("sure"))
-    scores = None
+    accepted = scores = None
     for _ in range(ROUNDS):
-        sure = by_seeds
+        # patterns with enough known values of one kind, whatever else occurs in them
+        known = seeds if accepted is None else seeds.unionByName(edges.join(accepted, "value"))
+        strong = stored(
+            known.groupBy(*key, "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS)
+            .select(*key).distinct(),
+            "pii-strong",
+        )
+        seen = stored(seeds.join(strong, key, "left_semi"), "pii-seen")
+        unseen = stored(edges.join(strong, key, "left_semi"), "pii-unseen")
+        sizes = (
+            seen.select(*key, "value").unionByName(unseen.select(*key, "value")).distinct()
+            .groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
+        )
+        sure = seen.groupBy(*key, "kind").agg(F.countDistinct("value").cast("double").alias("sure"))
         if scores is not None:
-            lent = unseen.join(scores, "value").groupBy("left", "shape", "kind").agg(F.sum("score").alias("sure"))
-            sure = by_seeds.unionByName(lent).groupBy("left", "shape", "kind").agg(F.sum("sure").alias("sure"))
+            lent = unseen.join(scores, "value").groupBy(*key, "kind").agg(F.sum("score").alias("sure"))
+            sure = sure.unionByName(lent).groupBy(*key, "kind").agg(F.sum("sure").alias("sure"))
         patterns = stored(
-            sure.join(sizes, ["left", "shape"])
-            .select("left", "shape", "kind", (F.col("sure") / (F.col("size") + 1)).alias("conf"))
+            sure.join(sizes, key)
+            .select(*key, "kind", (F.col("sure") / (F.col("size") + 1)).alias("conf"))
             .where(F.col("conf") >= LEND),
             "pii-patterns",
         )
+        # of a word's pattern with and without the shape, the surer one counts
         scores = stored(
-            unseen.join(patterns, ["left", "shape"]).groupBy("value", "kind")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")),
+            unseen.join(patterns, key).groupBy("value", "left", "kind").agg(F.max("conf").alias("conf"))
+            .groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")),
             "pii-scores",
         )
+        accepted = scores.where(F.col("score") >= ACCEPT).select("value", "kind")
     sure_edges = (
-        unseen.join(patterns.where(F.col("conf") >= ACCEPT), ["left", "shape"])
-        .join(scores.where(F.col("score") >= ACCEPT), ["value", "kind"])
-        .select("left", "shape", "value", "kind")
+        unseen.join(patterns.where(F.col("conf") >= ACCEPT), key)
+        .join(accepted, ["value", "kind"])
+        .select(*key, "value", "kind")
+    )
+    return (
+        words.join(sure_edges, [*key, "value"]).select("doc_id", "text_hash", "start", "kind", "stop").distinct()
     )
-    return words.join(sure_edges, ["left", "shape", "value"]).select("doc_id", "text_hash", "start", "kind", "stop")
 
 
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -218,9 +272,15 @@ def all_spans(rows: DataFrame) -> DataFrame:
     base = F.transform(
         "base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
     )
+    # a word of a run that was added goes with the run
     free = F.filter(
         "added",
-        lambda a: ~F.exists("base", lambda b: (b["start"] < a["stop"]) & (a["start"] < b["stop"])),
+        lambda a: ~_touches(F.col("base"), a)
+        & ~F.exists(
+            "added",
+            lambda b: (b["start"] <= a["start"]) & (b["stop"] >= a["stop"])
+            & (b["stop"] - b["start"] > a["stop"] - a["start"]),
+        ),
     )
     return joined.select(
         "doc_id", "text_hash", base.alias("base"),

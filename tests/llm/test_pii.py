@@ -102,3 +102,22 @@ def test_repeats_clashes_and_empty_tables(docs_of):
     assert out.columns == docs.columns
     assert sorted(r["text"] for r in out.collect()) == ["x <IP>", "x <IP>", "y <EMAIL>", "z <EMAIL>"]
     assert pii.report(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_contexts_find_unseen_shapes_and_spans_of_several_words(docs_of, by_id):
+    rows = [(i, f"please call: +1 (555) 123-{4000 + i} today") for i in range(30)]
+    rows += [(50 + i, f"write mail:u{i}@mail{i}.org soon") for i in range(30)]
+    rows += [(90, "please call (555) 123-4567 today"), (91, "call 555 123 4568, then go"), (92, "mail: someone9@localhost soon")]
+    got = by_id(pii.report(docs_of(*rows)))
+    assert got[90]["spans"] == "phone:12:26" and got[91]["spans"] == "phone:5:17"
+    assert got[92]["spans"] == "email:6:24" and got[92]["n_email"] == 0
+    texts = by_id(pii.redact(docs_of(*rows)))
+    assert texts[90]["text"] == "please call <PHONE> today" and texts[91]["text"] == "call <PHONE>, then go"
+
+
+def test_contexts_of_accepted_instances_are_new_patterns(docs_of, by_id):
+    known = [(i, f"please call +1 (555) 123-{4000 + i} today") for i in range(240)]
+    number = lambda i: f"(555) 777-{1000 + i}"
+    both = [(300 + 2 * i + k, f"{w} {number(i)} now") for i in range(20) for k, w in enumerate(("call", "fax"))]
+    got = by_id(pii.report(docs_of(*known, *both, (900, "fax (555) 999-1234 now"))))
+    assert got[900]["spans"] == "phone:4:18"
