@@ -2,10 +2,11 @@
 
 The tables only meet the driver as a histogram of at most ``capacity`` lengths.
 On it, the covering program "fewest sequences whose configurations hold every
-length often enough" is solved approximately by multiplicative weights: each
+length often enough" is followed greedily by multiplicative weights: each
 step prices the lengths, a knapsack dynamic program finds the configuration
-worth most, and the prices of what it holds fall. The solution is rounded down
-to whole sequences, and what is left over is packed best-fit, largest first.
+worth most, whole sequences of it are taken off the counts for good, and the
+prices of what it holds fall. There is no fractional solution that is rounded.
+What is left over is packed best-fit, largest first.
 Pieces then look up their place by their rank among pieces of equal length.
 """
 
@@ -104,7 +105,7 @@ def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
 
 
 def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[Group]:
-    """Multiplicative weights on the covering program; whole sequences per configuration.
+    """Greedy multiplicative weights on the covering program; whole sequences per configuration.
 
     Prices fall by the share of a length's demand that a step covers. A step is a
     fixed share of the lower bound, less where it would exceed what is left of a
