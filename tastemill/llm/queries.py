@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import chat, licenses, mixing, near_dup, packing, pii, quality, token_store, topk, warc
-from tastemill.llm.sql import CHAT_SQL, LICENSE_SQL, MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL, TOP_K_SQL, WARC_SQL
+from tastemill.llm import (
+    chat, collocations, embed_dup, licenses, mixing, near_dup, packing, pii, quality, spelling, token_store, topk, warc,
+)
+from tastemill.llm.sql import (
+    CHAT_SQL, COLLOCATION_SQL, EMBED_DUP_SQL, LICENSE_SQL, MIXING_SQL, NEAR_DUP_SQL, QUALITY_SQL, SPELLING_SQL, TOP_K_SQL, WARC_SQL,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +91,18 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_licenses", LICENSE_SQL)
 def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.recognise(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op11_embed_dup", EMBED_DUP_SQL)
+def op11_embed_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dup.near_vectors(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op12_collocations", COLLOCATION_SQL)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents", "text", "lang"))
+
+
+@query("op13_spelling", SPELLING_SQL)
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents", "doc_id", "text"))

@@ -227,3 +227,127 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '')
        coalesce(array_to_string(regexp_extract_all(r, ';([^=;][^;]*);', 1), ','), '') AS unmatched
 FROM d LEFT JOIN rest ON d.rid = rest.rid
 """
+
+EMBED_DUP_SQL = """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
+    FROM embeddings),
+ok AS (
+    SELECT rid, vec_id, label, x, sqrt(list_dot_product(x, x)) AS len FROM v
+    WHERE label IS NOT NULL AND x IS NOT NULL
+      AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+      AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (
+    SELECT a.rid AS a, b.rid AS b, b.vec_id
+    FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid AND len(a.x) = len(b.x)
+    WHERE list_dot_product(a.x, b.x) / (a.len * b.len) >= 0.98),
+reach AS (
+    SELECT a, b, vec_id FROM links
+    UNION SELECT r.a, l.b, l.vec_id FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(vec_id) AS least_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+       least(vec_id, coalesce(least_id, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(least_id, vec_id)) AS kept
+FROM v LEFT JOIN least_of l ON v.rid = l.a LEFT JOIN counts c ON v.rid = c.a
+"""
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                               'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+    SELECT lang, m, ws[i:i + m - 1] AS p
+    FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+          FROM (SELECT lang, ws, unnest([1, 2, 3, 4]) AS m FROM w WHERE len(ws) > 0))),
+f AS (SELECT lang, m, p, count(*) AS f FROM grams GROUP BY lang, m, p),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS (SELECT * FROM f WHERE f >= 30),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM often WHERE m > 1),
+scored AS (
+    SELECT c.lang, c.m, c.p, c.f AS a, k, x.f AS l, y.f AS r,
+           (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+    FROM cuts c JOIN often x ON c.lang = x.lang AND x.p = c.p[1:k]
+                JOIN often y ON c.lang = y.lang AND y.p = c.p[k + 1:c.m]),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, p[i:i + q - 1] AS p, max(f) AS longer
+    FROM (SELECT lang, p, m, f, q, unnest(range(1, m - q + 2)) AS i
+          FROM (SELECT *, unnest(range(2, m)) AS q FROM often WHERE m > 2))
+    GROUP BY 1, 2),
+rest AS (
+    SELECT w.*, array_to_string(w.p, ' ') AS phrase
+    FROM weakest w LEFT JOIN inside i ON w.lang = i.lang AND w.p = i.p
+    WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM rest)
+SELECT ranked.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n ON ranked.lang = n.lang WHERE rank <= 2000
+"""
+
+# The checksum is linear: every byte adds a value that depends on it and on its
+# distance from the end; ``zeros`` is what the start value becomes.
+SPELLING_SQL = r"""
+WITH RECURSIVE bits(i, b, v) AS (
+    SELECT 0, CAST(b AS BIGINT), CAST(b AS BIGINT) FROM range(256) t(b)
+    UNION ALL
+    SELECT i + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE i < 8),
+base AS (SELECT b, v FROM bits WHERE i = 8),
+runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+counted AS (
+    SELECT run, length(run) AS chars, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS k
+    FROM runs WHERE length(run) >= 6 GROUP BY run, doc_id),
+coded AS (SELECT row_number() OVER () AS rid, run, chars, k, hex(encode(s)) AS h FROM counted),
+longest AS (SELECT coalesce(max(length(h) // 2), 0) AS most FROM coded),
+steps(j, b, v) AS (
+    SELECT CAST(0 AS BIGINT), b, v FROM base
+    UNION ALL
+    SELECT j + 1, s.b, xor(s.v >> 8, base.v)
+    FROM steps s JOIN base ON base.b = s.v & 255 WHERE j < (SELECT most FROM longest)),
+zeros(j, v) AS (
+    SELECT CAST(0 AS BIGINT), CAST(4294967295 AS BIGINT)
+    UNION ALL
+    SELECT j + 1, xor(z.v >> 8, base.v)
+    FROM zeros z JOIN base ON base.b = z.v & 255 WHERE j < (SELECT most FROM longest)),
+parts AS (
+    SELECT rid, length(h) // 2 - 1 - i AS j, CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT) AS b
+    FROM (SELECT rid, h, unnest(range(0, length(h) // 2)) AS i FROM coded)),
+sums AS (SELECT rid, bit_xor(v) AS v FROM parts JOIN steps USING (j, b) GROUP BY rid),
+damaged AS (
+    SELECT k, run, chars, xor(xor(sums.v, zeros.v), 4294967295) AS h
+    FROM coded JOIN sums USING (rid) JOIN zeros ON zeros.j = length(coded.h) // 2),
+words AS (
+    SELECT CASE WHEN h % 199 = 0 THEN run[1:h % chars] || run[h % chars + 2:] ELSE run END AS word, k FROM damaged),
+v AS (
+    SELECT word, CAST(sum(k) AS BIGINT) AS n FROM words GROUP BY word HAVING length(word) >= 6 AND sum(k) >= 5),
+holes AS (
+    SELECT word, n, word[1:i] || word[i + 2:] AS hole
+    FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+keys AS (SELECT DISTINCT word, hole FROM holes UNION SELECT word, word FROM v),
+near AS (
+    SELECT DISTINCT a.word AS word, b.word AS near FROM keys a JOIN keys b USING (hole)
+    WHERE a.word <> b.word
+      AND (length(a.word) <> length(b.word)
+           OR len(list_filter(range(1, length(a.word) + 1), lambda i: a.word[i] <> b.word[i])) = 1)),
+best AS (
+    SELECT word, count(*) AS n_near, min_by(near, (-n, near)) AS form, max(n) AS form_n
+    FROM (SELECT near.word, near.near, v.n FROM near JOIN v ON near.near = v.word) GROUP BY word),
+forms AS (
+    SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+           CASE WHEN form_n >= 5 * v.n THEN form END AS form,
+           CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n
+    FROM v LEFT JOIN best ON v.word = best.word),
+follow(word, goal, i) AS (
+    SELECT word, form, 1 FROM forms WHERE form IS NOT NULL
+    UNION ALL SELECT follow.word, forms.form, i + 1 FROM follow JOIN forms ON follow.goal = forms.word
+    WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, max_by(goal, i) AS root FROM follow GROUP BY word)
+SELECT forms.word, form, coalesce(root, forms.word) AS root, n, n_near, form_n
+FROM forms LEFT JOIN ends ON forms.word = ends.word
+"""
