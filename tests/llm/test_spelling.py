@@ -60,7 +60,7 @@ def texts():
 def test_against_brute_force(spark, texts):
     got = found(spelling.variants(table(spark, texts)))
     assert got == brute(texts)
-    assert sum(r[1] is not None for r in got) > 10 and max(r[4] for r in got) > 3
+    assert sum(r[1] is not None for r in got) > 10 and max(r[4] for r in got) > 1
 
 
 def test_neighbours_at_every_place_and_of_long_words(spark):
