@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm.common import stored
@@ -111,8 +111,13 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.reshape(len(signatures), -1)
 
 
+def text_hash(text: str = "text") -> Column:
+    """Tells rows apart that share an id; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, keys)``: size, identity and buckets of each set."""
+    """``(doc_id, text_hash, n_shingles, set_a, set_b, keys)``: size, identity, buckets of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,12 +136,12 @@ def measured(docs: DataFrame) -> DataFrame:
             )
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), signed(one), signed(two), lists],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), signed(one), signed(two), lists],
+                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("text_hash")).mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, keys array<long>"
     )
 
 
@@ -147,8 +152,8 @@ def outline(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(places, bitorder="little").view("<i8")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """``(id, shingles, bits)`` of each document: its set and the set's outline."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """``(id, shingles, bits)`` of each ``(id, text)``: its set and the set's outline."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +168,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 names=["id", "shingles", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "id long, shingles array<long>, bits array<long>"
-    )
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>, bits array<long>")
 
 
 def live_buckets(nodes: DataFrame) -> DataFrame:
@@ -259,12 +262,11 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.where("of_a != of_b").select("a", "b")
 
 
-def linked(docs: DataFrame, live: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, nodes: DataFrame, live: DataFrame) -> DataFrame:
     """``(id, label)`` of all nodes with a link; see the module's text for the rounds."""
-    ids = live.select("id").distinct()
-    sets = stored(
-        full_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")), "sets"
-    )
+    asked = nodes.join(live.select("id").distinct(), "id", "left_semi").select("doc_id", "text_hash", "id", "copies")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("text_hash"))
+    sets = stored(full_sets(once(texts.join(asked, ["doc_id", "text_hash"]), ["id"])), "sets")
     stars = stored(
         live.where("leader != id")
         .groupBy(F.col("leader").alias("a"), F.col("id").alias("b"))
@@ -320,29 +322,57 @@ def linked(docs: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every document.
+def once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row per ``by``; only rows with ``copies`` above 1 can be repeated and are shuffled for it."""
+    return rows.where("copies = 1").unionByName(rows.where("copies > 1").dropDuplicates(by))
 
-    Null texts and texts without words have an empty set and link with nothing;
-    a text of fewer than five words has one shingle, all its words. Rows with
-    equal sets are one node, however many. A row without an id has no component
-    and is kept. Repeated rows give the same result twice; rows that share an id
-    but not a text are judged by their texts. An empty table gives no rows.
+
+SET = ["set_a", "set_b", "n_shingles"]
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Measured rows; distinct texts ``(doc_id, text_hash, copies, *SET)``; nodes ``(*SET, root, component_id)``.
+
+    Only rows with an id and words. A node is a set, whatever ids its rows have, and
+    is numbered when it is written; its text is that of its smallest (id, hash).
     """
     found = stored(measured(docs), "signatures")
     known = found.where("n_shingles > 0 and doc_id is not null")
+    texts = stored(
+        known.groupBy(*SET, "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "texts"
+    )
     nodes = stored(
-        known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")), "nodes"
+        texts.groupBy(*SET).agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("of"))
+        .select(*SET, "of.*", F.monotonically_increasing_id().alias("id")),
+        "nodes",
     )
-    indexed = known.select(F.col("doc_id").alias("id"), "keys").join(
-        nodes.select("id").distinct(), "id", "left_semi"
+    indexed = once(
+        known.select("doc_id", "text_hash", "keys").join(
+            nodes.select("doc_id", "text_hash", "id", "copies"), ["doc_id", "text_hash"]
+        ),
+        ["id"],
     )
     live = stored(live_buckets(indexed), "buckets")
-    labels = linked(docs, live)
-    of_node = _labelled(nodes, "id", labels, "component_id").drop("id")
+    labels = linked(docs, nodes, live)
+    rooted = _labelled(nodes, "id", labels, "root").select(*SET, "doc_id", "root")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found, texts, rooted.select(*SET, "root").join(least, "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every document.
+
+    Null texts and texts without words have an empty set and link with nothing;
+    a text of fewer than five words has one shingle, all its words. Rows with
+    equal sets are one node, however many. A row without an id has no component
+    and is kept. Repeated rows give the same result twice; rows that share an id
+    but not a text are judged by their texts. Sets are compared by 64-bit hashes of
+    their shingles. An empty table gives no rows.
+    """
+    found, _, classes = _classes(docs)
     return (
-        found.select("doc_id", "n_shingles", "set_a", "set_b")
-        .join(of_node, ["set_a", "set_b", "n_shingles"], "left")
+        found.select("doc_id", *SET)
+        .join(classes, SET, "left")
         .select(
             "doc_id",
             "n_shingles",
@@ -353,7 +383,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group, with all its columns.
+
+    It is the one with the smallest id, of texts under one id that with the smaller
+    hash, of rows with equal id and text that whose columns hash lowest; so reruns
+    keep the same row. Texts that share an id but nothing else are different groups.
+    Rows without an id or without words stay.
+    """
+    found, texts, classes = _classes(docs)
+    first = (
+        texts.join(classes, SET).groupBy("root")
+        .agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("of")).select("of.*")
+    )
+    first = stored(first, "kept").toDF("_id", "_hash", "_copies")
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), text_hash().alias("_text"))
+    kept = named.join(first, (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    repeated = (
+        kept.where("_copies > 1").groupBy("_id", "_hash")
+        .agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    )
+    has_words = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    free = named.where(F.col("_doc").isNull() | ~has_words).select("row")
+    every = kept.where("_copies = 1").select("row").unionByName(repeated).unionByName(free)
+    return every.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -111,3 +111,32 @@ def test_slices_do_not_change_the_sets(monkeypatch):
     monkeypatch.setattr(near_dup, "SLICE_BYTES", 700)
     assert [s.tolist() for s in near_dup.shingle_sets(texts)] == want
     assert [len(s) for s in want] == [len(sets(t)) for t in texts.to_pylist()]
+
+
+def test_texts_under_one_id_are_different_documents(docs_of):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    docs = docs_of((3, a + " more"), (5, a), (5, b), (7, b), (5, b), (6, None), (6, ""), (8, a))
+    got = sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect())
+    assert got == sorted([
+        (3, 37, 3, True), (5, 36, 3, False), (5, 36, 5, True), (5, 36, 5, True), (7, 36, 5, False),
+        (6, 0, 6, True), (6, 0, 6, True), (8, 36, 3, False),
+    ])
+    kept = sorted((r["doc_id"], r["text"] or "") for r in near_dup.keep_first(docs).collect())
+    assert kept == [(3, a + " more"), (5, b), (6, ""), (6, "")]
+
+
+def test_a_third_of_all_rows_under_one_id(docs_of, spark):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, prose(k)) for k in range(50)] + [(1, prose(0))] * 50 + [(k, prose(k)) for k in range(2, 60)]
+    docs = docs_of(*rows)
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dup.keep_first(docs).collect())
+    assert kept == sorted({(1, prose(k)) for k in range(50)} | {(k, prose(k)) for k in range(50, 60)})
+    assert near_dup.near_duplicates(docs).count() == len(rows)
+
+
+def test_the_same_row_of_equal_texts_is_kept(docs_of):
+    text = " ".join(map(str, range(40)))
+    docs = docs_of(*[(4, text, f"host{i}") for i in range(20)])
+    kept = {near_dup.keep_first(docs.repartition(n, "source")).first()["source"] for n in (1, 3, 7)}
+    assert len(kept) == 1 and near_dup.keep_first(docs).count() == 1
