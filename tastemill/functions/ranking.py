@@ -84,55 +84,98 @@ def unpivot_columns(df: DataFrame, columns: Sequence[str], kind: str) -> DataFra
     return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.name", "cell.v")
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], detail: int = 1024
+# Bits of a key that one round of the radix histogram looks at.
+DIGIT = 16
+# A range of at most so many distinct values is ordered; larger ones are split on.
+ORDERED = 20_000
+
+
+def ordered_key(v: Column) -> Column:
+    """64-bit integers in the order of the doubles; infinities are the ends.
+
+    The bits of a positive double are in order as they are, those of a negative
+    one in reverse.
+    """
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def _ranges(
+    counts: DataFrame, probs: Sequence[float], totals: DataFrame, shift: int, within: DataFrame | None
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles as rows ``(name, prob, value)``.
+    """Ranges of keys with equal upper bits that hold a wanted rank.
 
-    Values are counted first (map-side combine, so a value held by a third of
-    the rows is one row afterwards), then summed over logarithmic ranges,
-    ``detail`` per doubling. Only ranges that hold a wanted rank are ordered.
-    The number of ranges is bounded by the double format, not by the data, and
-    the broadcast table has at most two ranges per column and probability.
+    Rows ``(name, range, before, size, asked)``: rank of the first value, distinct
+    values, and the wanted ranks. A digit has ``2 ** DIGIT`` ranges, so the windows
+    over them are bounded, whatever the data.
     """
-    magnitude = F.floor(F.log2(F.lit(1.0) + F.abs("v")) * F.lit(detail)).cast("int")
-    counts = (
-        unpivot_columns(df, columns, "double")
-        .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("name", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("range", F.when(F.col("v") < 0, -magnitude).otherwise(magnitude))
-    )
-    per_name = Window.partitionBy("name")
-    running = per_name.orderBy("range").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    rows = counts.withColumn("range", F.shiftright("key", shift))
+    if within is None:
+        rows = rows.withColumn("base", F.lit(0).cast("long")).withColumn("outer", F.lit(0).cast("long"))
+    else:
+        known = within.select("name", F.col("range").alias("outer"), F.col("before").alias("base"))
+        rows = rows.withColumn("outer", F.shiftright("key", shift + DIGIT)).join(
+            F.broadcast(known), ["name", "outer"]
+        )
+    per_outer = Window.partitionBy("name", "outer").orderBy("range").rowsBetween(
+        Window.unboundedPreceding, -1
     )
     asked = F.transform(
         F.array(*[F.lit(float(p)) for p in probs]),
         lambda p: F.struct(p.alias("prob"), ((F.col("total") - 1) * p).alias("at")),
     )
-    ranges = (
-        counts.groupBy("name", "range")
-        .agg(F.sum("n").alias("in_range"))
-        .withColumn("through", F.sum("in_range").over(running))
-        .withColumn("total", F.sum("in_range").over(per_name))
-        .withColumn("before", F.col("through") - F.col("in_range"))
+    return (
+        rows.groupBy("name", "outer", "base", "range")
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size"))
+        .withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(per_outer), F.lit(0)))
+        .join(F.broadcast(totals), "name")
         .withColumn(
             "asked",
             F.filter(
                 asked,
                 lambda a: (F.ceil(a["at"]) >= F.col("before"))
-                & (F.floor(a["at"]) < F.col("through")),
+                & (F.floor(a["at"]) < F.col("before") + F.col("n")),
             ),
         )
         .where(F.size("asked") > 0)
-        .select("name", "range", "before", "asked")
+        .select("name", "range", "before", "size", "asked")
+    )
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], ordered: int = ORDERED
+) -> DataFrame:
+    """Exact linearly interpolated quantiles as rows ``(name, prob, value)``.
+
+    Values are counted first (map-side combine, so a value held by a third of
+    the rows is one row afterwards). A radix histogram over order-preserving keys
+    then finds the ranges that hold a wanted rank, 16 bits at a time, and goes on
+    inside them until they hold at most ``ordered`` distinct values; only those
+    are ordered. It ends after four rounds at the latest, when a range is one
+    value, so values that lie close together are told apart like any others. The
+    broadcast tables have at most two ranges per column and probability. Nulls
+    and NaN are left out.
+    """
+    counts = materialise(
+        unpivot_columns(df, columns, "double")
+        .where(F.col("v").isNotNull() & ~F.isnan("v"))
+        .groupBy("name", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("key", ordered_key(F.col("v")))
     )
+    totals = counts.groupBy("name").agg(F.sum("n").alias("total"))
+    ranges = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        ranges = materialise(_ranges(counts, probs, totals, shift, ranges))
+        largest = ranges.agg(F.max("size")).first()[0]
+        if largest is None or largest <= ordered:
+            break
     inside = Window.partitionBy("name", "range").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     placed = (
-        counts.join(F.broadcast(ranges), ["name", "range"])
+        counts.withColumn("range", F.shiftright("key", shift))
+        .join(F.broadcast(ranges), ["name", "range"])
         .withColumn("to", F.sum("n").over(inside) + F.col("before"))
         .select("name", "v", (F.col("to") - F.col("n")).alias("from"), "to", F.inline("asked"))
     )
@@ -142,9 +185,9 @@ def exact_quantiles(
         held(low + 1), part
     ).otherwise(0.0)
     return (
-        placed.where(held(low) | held(low + 1))
+        placed.withColumn("weight", weight).where("weight > 0")
         .groupBy("name", "prob")
-        .agg(F.sum(F.col("v") * weight).alias("value"))
+        .agg(F.sum(F.col("v") * F.col("weight")).alias("value"))
     )
 
 

@@ -49,13 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder and read from there on.
+    """Write once into the shared checkpoint folder and read from there on.
 
     For tables that several branches of a plan read: the branches neither
-    recompute them nor depend on executors that held them.
+    recompute them nor depend on executors that held them, and the planner sees
+    their real size. The plan runs once, where an eager checkpoint runs it twice.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

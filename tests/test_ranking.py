@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from tastemill.functions import ranking, skew
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_exact_quantiles_match_linear_interpolation(spark, seed):
+@pytest.mark.parametrize("seed, ordered", [(1, 20_000), (2, 4)])
+def test_exact_quantiles_match_linear_interpolation(spark, seed, ordered):
     rng = np.random.default_rng(seed)
     data = {
         "a": np.round(rng.normal(0, 50, 301), 2),
@@ -17,13 +17,56 @@ def test_exact_quantiles_match_linear_interpolation(spark, seed):
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     got = {
         (r["name"], r["prob"]): r["value"]
-        for r in ranking.exact_quantiles(df, list(data), probs, detail=4).collect()
+        for r in ranking.exact_quantiles(df, list(data), probs, ordered).collect()
     }
     for name, xs in data.items():
         for p in probs:
             assert got[name, p] == pytest.approx(np.percentile(xs, p * 100)), (name, p)
 
 
+def test_keys_are_in_the_order_of_the_doubles(spark):
+    tiny = 5e-324
+    values = [float("-inf"), -1e308, -1.5, -1.0, -tiny, 0.0, tiny, 1.0, 1.0 + 2**-52, 1e308, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", ranking.ordered_key(F.col("v")).alias("key")
+    )
+    assert [r["v"] for r in df.orderBy("key").collect()] == values
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        1.7e9 + np.arange(3000) / 7,  # one day's seconds
+        1e-9 * (1 + np.arange(3000) / 1e6),  # tiny fractions
+        np.concatenate([np.full(40, -np.inf), np.linspace(-1, 1, 2999), np.full(21, np.inf)]),
+        np.concatenate([np.full(2000, 3.25), np.arange(1000.0)]),  # a value of two thirds of the rows
+    ],
+)
+def test_quantiles_of_values_that_lie_close_together(spark, values):
+    """The radix histogram goes on until a range is small; nothing larger is ordered."""
+    df = spark.createDataFrame([(float(v),) for v in np.random.default_rng(1).permutation(values)], "x double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r["prob"]: r["value"] for r in ranking.exact_quantiles(df, ["x"], probs, ordered=16).collect()}
+    ordered = np.sort(values)
+    for p in probs:
+        at = (len(values) - 1) * p
+        low, part = int(np.floor(at)), at - np.floor(at)
+        want = ordered[low] if part == 0 else (1 - part) * ordered[low] + part * ordered[low + 1]
+        assert got[p] == want or got[p] == pytest.approx(want, rel=1e-15)
+
+
+def test_no_range_above_the_stated_size_is_left(spark):
+    values = [1.0 + i * 2.0**-52 for i in range(500)]  # equal in all but the last bits
+    counts = spark.createDataFrame([("x", v, 1) for v in values], "name string, v double, n long")
+    counts = counts.withColumn("key", ranking.ordered_key(F.col("v")))
+    totals = counts.groupBy("name").agg(F.sum("n").alias("total"))
+    ranges, sizes = None, []
+    for shift in (48, 32, 16, 0):
+        ranges = ranking._ranges(counts, [0.5], totals, shift, ranges)
+        sizes.append(max(r["size"] for r in ranges.collect()))
+    assert sizes == [500, 500, 500, 1]
+
+
 def test_quantiles_ignore_null_and_single_value(spark):
     df = spark.createDataFrame([(None,), (2.0,)], "x double")
     assert ranking.exact_quantiles(df, ["x"], [0.5]).collect()[0]["value"] == 2.0
