@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tastemill.functions.columns import bigrams, clean_text, tokens
 from tastemill.functions.ranking import dense_index, exact_quantiles, one_row, with_row
+from tastemill.session import materialise
 from tastemill.functions.stopwords import ENGLISH
 from tastemill.operators.clean import UNKNOWN, genres_as_array
 
@@ -183,13 +184,15 @@ def tfidf(
     The vocabulary is a top-k of at most ``max_features`` rows, so it is
     broadcast; only cells of vocabulary terms are shuffled.
     """
-    ids = docs.select(id_column, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    words = F.explode(tokens(F.col("_text")))
     stop = [w for w in (ENGLISH if stop_words is None else stop_words)]
-    if bigram:
-        terms = ids.select(id_column, F.explode(term_list(F.col("_text"), True, stop)).alias("term"))
-    else:
-        terms = ids.select(id_column, words.alias("term")).where(~F.col("term").isin(*stop))
+    # read, cleaned and cut into words once; pairs are built from the stored words
+    ids = materialise(
+        docs.select(id_column, term_list(F.coalesce(F.col(text), F.lit("")), False, stop).alias("_words"))
+    )
+    words = F.col("_words")
+    terms = ids.select(
+        id_column, F.explode(F.concat(words, bigrams(words)) if bigram else words).alias("term")
+    )
     vocabulary = (
         terms.groupBy("term")
         .agg(F.count(F.lit(1)).alias("corpus_tf"))
