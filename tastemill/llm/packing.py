@@ -1,19 +1,23 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 The tables only meet the driver as a histogram of at most ``capacity`` lengths.
-On it, the covering program "fewest sequences whose configurations hold every
-length often enough" is followed greedily by multiplicative weights: each
-step prices the lengths, a knapsack dynamic program finds the configuration
-worth most, whole sequences of it are taken off the counts for good, and the
-prices of what it holds fall. There is no fractional solution that is rounded.
-What is left over is packed best-fit, largest first.
-Pieces then look up their place by their rank among pieces of equal length.
+Its long pieces are put into ``CLASSES`` of nearly equal size, each as long as its
+longest piece (linear grouping). On the classes stands the covering program "least
+total weight of configurations that holds every class as often as it occurs".
+Multiplicative weights solve it: each round prices the classes by how little of
+their (unchanged) demand is covered so far, a knapsack dynamic program finds the
+configurations worth most at these prices, and these gain weight. The sum is
+scaled and completed to a cover; prices give a lower bound beside it. The
+fractional cover is rounded down once and its places are given to the pieces of
+the classes. Short pieces and what the rounding leaves over are packed best-fit,
+largest first, into the room of these sequences and then into new ones. Pieces
+then look up their place by their rank among pieces of equal length.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +31,17 @@ from tastemill.llm.tokens import WordEncoder
 
 CAPACITY = 2048
 END_ID = 0
-# Steps on the program; what they leave over is packed best-fit.
-ROUNDS = 1000
+# Pricing rounds on the program.
+ROUNDS = 400
+# Pieces of at least capacity / LONG_PARTS are the program's, in so many classes.
+LONG_PARTS = 8
+CLASSES = 40
 # Prices start at (length / capacity) ** POWER: of equally full sequences, that
 # with larger pieces is worth more.
 POWER = 1.2
-# How fast the price of a covered length falls.
-DECAY = 0.2
+# How fast a price falls with the covered share of the demand; configurations
+# worth this much less than the best one are good enough for a round.
+STEP = 0.1
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long"
 )
@@ -80,8 +88,8 @@ def pieces(
 Group = tuple[dict[int, int], int]  # what one sequence holds, number of such sequences
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack with repetition: the lengths that fit together and are worth most.
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """With repetition: the worth of every room, and the length to put into it first (0: none).
 
     ``price[l]`` is the price of length l; 0 for lengths that do not occur.
     """
@@ -92,8 +100,12 @@ def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
         worth[room], choice[room] = value[best], best + 1
         if worth[room] <= worth[room - 1]:
             worth[room], choice[room] = worth[room - 1], 0
+    return worth, choice
+
+
+def filled(choice: np.ndarray, room: int) -> dict[int, int]:
+    """The lengths that the dynamic program puts into a room."""
     held: dict[int, int] = {}
-    room = capacity
     while room > 0:
         length = int(choice[room])
         if length == 0:
@@ -104,37 +116,154 @@ def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
     return held
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[Group]:
-    """Greedy multiplicative weights on the covering program; whole sequences per configuration.
+@dataclass(frozen=True)
+class Cover:
+    """A fractional cover: configurations with their weights, and a lower bound of any cover."""
+
+    weights: list[tuple[dict[int, int], float]]
+    bound: float
+
+    @property
+    def value(self) -> float:
+        return sum(x for _, x in self.weights)
 
-    Prices fall by the share of a length's demand that a step covers. A step is a
-    fixed share of the lower bound, less where it would exceed what is left of a
-    length, so the rounding down happens step by step.
+
+def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> Cover:
+    """The program's fractional solution by multiplicative weights.
+
+    Each round takes, from the dearest down, configurations worth nearly as much as
+    the best that share no length; each gains the weight that covers one of its
+    lengths once over. Then the best
+    scale is chosen; lengths it leaves short get sequences of their own.
     """
-    lengths = np.arange(capacity + 1)
-    left = counts.astype(np.int64).copy()
-    step = max(1, int((left * lengths).sum() / capacity / rounds))
-    price = np.where(left > 0, (lengths / capacity) ** POWER, 0.0)
-    groups: list[Group] = []
+    lengths = np.flatnonzero(counts)
+    demand = counts[lengths].astype(np.float64)
+    if not len(lengths):
+        return Cover([], 0.0)
+    at = np.full(capacity + 1, -1)
+    at[lengths] = np.arange(len(lengths))
+    covered = np.zeros(len(lengths))
+    start = (lengths / capacity) ** POWER
+    weights: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = float((lengths * demand).sum() / capacity)
+    price = np.zeros(capacity + 1)
     for _ in range(rounds):
-        if not left.any():
-            break
-        held = best_configuration(price, capacity)
-        fits = min(left[n] // k for n, k in held.items())
-        take = int(min(step, fits))
+        share = covered / demand
+        price[lengths] = start * np.exp(-step * (share - share.min()))
+        worth, choice = knapsack(price, capacity)
+        # prices by the best worth are feasible for the dual program
+        bound = max(bound, float((price[lengths] * demand).sum() / worth[capacity]))
+        begun = price[lengths] + worth[capacity - lengths]
+        used: set[int] = set()
+        for k in np.argsort(-begun, kind="stable"):
+            if begun[k] < (1 - step) * worth[capacity]:
+                break
+            first = int(lengths[k])
+            if first in used:
+                continue
+            held = filled(choice, capacity - first)
+            held[first] = held.get(first, 0) + 1
+            if used & set(held):
+                continue
+            used |= set(held)
+            gain = min(demand[at[n]] / c for n, c in held.items())
+            key = tuple(sorted(held.items()))
+            weights[key] = weights.get(key, 0.0) + gain
+            for n, c in held.items():
+                covered[at[n]] += c * gain
+    total, alone = sum(weights.values()), capacity // lengths
+    short = lambda scale: np.maximum(0.0, demand - covered / scale)
+    scales = np.unique(np.quantile(np.maximum(covered / demand, 1e-9), np.linspace(0, 1, 201)))
+    scale = min(scales, key=lambda c: total / c + (short(c) / alone).sum())
+    cover = [(dict(key), x / scale) for key, x in weights.items()]
+    cover += [({int(n): int(c)}, float(x / c)) for n, c, x in zip(lengths, alone, short(scale)) if x > 0]
+    return Cover(cover, bound)
+
+
+def grouped(counts: np.ndarray, capacity: int, classes: int = CLASSES) -> np.ndarray:
+    """For every length its class, named by the longest of the class; 0 for short pieces."""
+    of = np.zeros(capacity + 1, np.int64)
+    lengths = np.flatnonzero(counts)
+    lengths = lengths[lengths >= max(1, capacity // LONG_PARTS)]
+    if len(lengths):
+        before = np.cumsum(counts[lengths]) - counts[lengths]
+        number = before * classes // counts[lengths].sum()
+        last = np.append(np.flatnonzero(np.diff(number)), len(lengths) - 1)
+        of[lengths] = lengths[last][np.searchsorted(number[last], number)]
+    return of
+
+
+def _handed_out(held: dict[int, int], many: int, pools: dict[int, list[list[int]]]) -> list[Group]:
+    """``many`` sequences of a configuration of classes as groups of real lengths.
+
+    A pool has ``[length, pieces left]`` of a class, the longest last.
+    """
+    out: list[Group] = []
+    while many:
+        run, real = many, {}
+        for name, copies in held.items():  # how many equal sequences there are
+            run = min(run, max(1, pools[name][-1][1] // copies))
+        for name, copies in held.items():
+            wanted = copies * run
+            while wanted:
+                length, n = pools[name][-1]
+                # a run above one takes only from the last entry, which has enough
+                used = min(n, wanted)
+                real[length] = real.get(length, 0) + (copies if run > 1 else used)
+                wanted -= used
+                pools[name][-1][1] -= used
+                if pools[name][-1][1] == 0:
+                    pools[name].pop()
+        out.append((real, run))
+        many -= run
+    return out
+
+
+def _opening(held: dict[int, int]) -> dict[int, int]:
+    """A configuration without one piece of its shortest class.
+
+    Classes are as long as their longest piece; the room that real pieces leave is
+    met best by choosing the last one for its exact length.
+    """
+    shortest = min(held)
+    kept = held | {shortest: held[shortest] - 1}
+    return {n: k for n, k in kept.items() if k} or held
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, classes: int = CLASSES) -> list[Group]:
+    """Whole sequences: the fractional cover of the classes rounded down, the rest best-fit.
+
+    A cover may hold more of a class than there is; a configuration then gets
+    fewer sequences. The heaviest configurations come first.
+    """
+    counts = counts.astype(np.int64)
+    of = grouped(counts, capacity, classes)
+    demand = np.bincount(of, weights=np.where(of > 0, counts, 0), minlength=capacity + 1).astype(np.int64)
+    pools: dict[int, list[list[int]]] = {}
+    for length in np.flatnonzero(of):
+        pools.setdefault(int(of[length]), []).append([int(length), int(counts[length])])
+    left, groups = demand.copy(), []
+    for held, x in sorted(fractional(demand, capacity, rounds).weights, key=lambda w: -w[1]):
+        take = min(int(x), *(int(left[n]) // k for n, k in held.items()))
         if take:
-            groups.append((held, take))
+            groups += _handed_out(_opening(held), take, pools)
+            for n, k in held.items():
+                left[n] -= k * take
+    rest = counts.copy()
+    for held, many in groups:
         for n, k in held.items():
-            left[n] -= k * take
-            price[n] *= np.exp(-DECAY * k * take / max(1, counts[n])) if take else 0.5
-            if left[n] == 0:
-                price[n] = 0.0
-    return groups + best_fit(left, capacity)
+            rest[n] -= k * many
+    return best_fit(rest, capacity, groups)
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[Group]:
-    """Best-fit decreasing on a histogram; equal sequences are handled together."""
+def best_fit(counts: np.ndarray, capacity: int, opened: Iterable[Group] = ()) -> list[Group]:
+    """Best-fit decreasing on a histogram, into the opened sequences first.
+
+    Equal sequences are handled together.
+    """
     bins: list[list[Group]] = [[] for _ in range(capacity + 1)]  # by room left
+    for held, many in opened:
+        bins[capacity - sum(n * k for n, k in held.items())].append((held, many))
     for length in range(capacity, 0, -1):
         n = int(counts[length])
         room = length

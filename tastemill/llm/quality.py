@@ -3,9 +3,10 @@
 Every document is measured once. Failures are summed per host (the ``source``
 column), the failure rate of each host is shrunk towards what all hosts show by
 a beta prior estimated from the hosts themselves, and the verdict about the
-host goes back to its documents: a rule that is too weak to reject a document
-on its own does so in a host that is known to fail it. :func:`assess` has the
-verdict alone; :func:`keep_good` weighs it against how far a document fails.
+host goes back to its documents: the rate is the prior probability that a
+document of the host is bad, and how far the document is beyond the rule is the
+evidence. So a borderline failure rejects only in a host that is known to fail,
+a heavy one in any host.
 """
 
 from __future__ import annotations
@@ -202,8 +203,8 @@ def outweighed(limit: float = HOST_LIMIT) -> Column:
 
     The prior odds are those of the host's shrunken rate; the square of the
     document's excess multiplies them; what is above the odds of ``limit`` goes.
-    A host at the limit loses all that fails, as in :func:`assess`; a better
-    host loses what is further beyond the rule.
+    A host at the limit loses all that fails; a better host loses what is further
+    beyond the rule.
     """
     rejected = F.lit(False)
     for r in SOFT_RULES:
@@ -229,20 +230,20 @@ def assess(
 
     ``docs`` needs ``text`` and ``source``; all its columns, or those named in
     ``carry``, come back in ``row``.
-    A document goes if it fails the base rules, or fails a soft rule that its
-    host is flagged for; a clean document stays whatever its host. Null and
-    empty texts have no words and fail; documents without a source form one
-    host; repeated rows are judged one by one; an empty table gives no rows.
+    A document goes if it fails the base rules, or fails a soft rule and is
+    outweighed by its host's rate (see :func:`outweighed`); a document that passes
+    all rules stays whatever its host. Null and empty texts have no words and fail;
+    documents without a source form one host; repeated rows are judged one by one;
+    an empty table gives no rows.
 
     Measured rows are written once: the sums per host and the join both read
     them. The verdicts are one small row per host; the planner broadcasts them
     if their files are small and else joins by host, splitting hot ones.
     """
     found = judged(docs, limit, carry)
-    hit = lambda r: F.col(f"fails.{r}") & F.coalesce(F.col(f"flags.{r}"), F.lit(False))
-    rejected, flagged = F.lit(False), F.lit(False)
+    flagged = F.lit(False)
     for r in SOFT_RULES:
-        rejected, flagged = rejected | hit(r), flagged | F.coalesce(F.col(f"flags.{r}"), F.lit(False))
+        flagged = flagged | F.coalesce(F.col(f"flags.{r}"), F.lit(False))
     return found.select(
         "row",
         "n_words",
@@ -251,14 +252,11 @@ def assess(
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & ~rejected).alias("kept"),
+        (~F.col("base_failed") & ~outweighed(limit)).alias("kept"),
         flagged.alias("host_flagged"),
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass the base rules and are not outweighed, with their own columns.
-
-    Keeps no document that :func:`assess` rejects.
-    """
+    """The documents that :func:`assess` keeps, with their own columns."""
     return judged(docs).where(~F.col("base_failed") & ~outweighed()).select("row.*")

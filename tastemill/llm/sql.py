@@ -49,13 +49,23 @@ prior AS (
         least(1000, greatest(1, CASE WHEN v3 > 0 THEN m3 * (1 - m3) / v3 - 1 ELSE 1000 END)) AS k3
     FROM means, spread),
 verdicts AS (
-    SELECT source, (s1 + m1 * k1) / (n + k1) > 0.3 AS h1, (s2 + m2 * k2) / (n + k2) > 0.3 AS h2,
-           (s3 + m3 * k3) / (n + k3) > 0.3 AS h3
-    FROM hosts, prior)
+    SELECT source, (s1 + m1 * k1) / (n + k1) AS r1, (s2 + m2 * k2) / (n + k2) AS r2,
+           (s3 + m3 * k3) / (n + k3) AS r3
+    FROM hosts, prior),
+odds AS (
+    SELECT *, coalesce(r1 > 0.3::DOUBLE, false) AS h1, coalesce(r2 > 0.3::DOUBLE, false) AS h2,
+           coalesce(r3 > 0.3::DOUBLE, false) AS h3,
+           coalesce(pow(10 * n_symbols / nullif(n_words, 0), 2) * r1 * 0.7::DOUBLE
+                    > 0.3::DOUBLE * (1 - r1), false) AS p1,
+           coalesce(pow(7 * n_dup_lines / nullif(3 * (n_lines - n_dup_lines), 0), 2) * r2 * 0.7::DOUBLE
+                    > 0.3::DOUBLE * (1 - r2), false) AS p2,
+           coalesce(pow(greatest(2 * n_words / nullif(word_chars, 0), word_chars / nullif(15 * n_words, 0)), 2)
+                    * r3 * 0.7::DOUBLE > 0.3::DOUBLE * (1 - r3), false) AS p3
+    FROM f JOIN verdicts ON f.source IS NOT DISTINCT FROM verdicts.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (f1 AND h1 OR f2 AND h2 OR f3 AND h3) AS kept,
+       NOT base_failed AND NOT (f1 AND (h1 OR p1) OR f2 AND (h2 OR p2) OR f3 AND (h3 OR p3)) AS kept,
        h1 OR h2 OR h3 AS host_flagged
-FROM f JOIN verdicts ON f.source IS NOT DISTINCT FROM verdicts.source
+FROM odds
 """
 
 

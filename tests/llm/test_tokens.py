@@ -128,5 +128,58 @@ def test_runs_hand_out_every_rank_once():
 def test_knapsack_takes_the_best_configuration():
     price = np.zeros(11)
     price[[3, 4, 6]] = [3, 4.5, 6]
-    held = packing.best_configuration(price, 10)
+    held = packing.filled(packing.knapsack(price, 10)[1], 10)
     assert sum(price[k] * n for k, n in held.items()) == 10.5
+
+
+def configurations(lengths, room):
+    if not lengths:
+        return [{}]
+    n, rest = lengths[0], lengths[1:]
+    return [{n: k, **c} for k in range(room // n + 1) for c in configurations(rest, room - n * k)]
+
+
+@pytest.mark.parametrize("demand", [{3: 60, 4: 45, 5: 30, 7: 20}, {6: 100}, {4: 900, 5: 1, 10: 7}, {1: 5, 9: 40, 8: 30}])
+def test_fractional_cover_against_all_configurations(demand):
+    """The cover holds every length; its value is near a bound that all configurations confirm."""
+    counts = np.zeros(11, np.int64)
+    counts[list(demand)] = list(demand.values())
+    cover = packing.fractional(counts, 10, rounds=400, step=0.05)
+    for n, want in demand.items():
+        assert sum(held.get(n, 0) * x for held, x in cover.weights) >= want * (1 - 1e-9)
+    assert all(sum(n * k for n, k in held.items()) <= 10 for held, _ in cover.weights)
+    # the optimum by the dual: no feasible prices are worth more; a grid of prices shows how close
+    every = configurations(sorted(demand), 10)
+    grid = np.linspace(0, 1, 61)
+    best, best_dual = 0.0, None
+    rng = np.random.default_rng(0)
+    names = sorted(demand)
+    for _ in range(4000):
+        y = rng.choice(grid, len(names))
+        top = max(sum(c.get(n, 0) * p for n, p in zip(names, y)) for c in every)
+        if top > 0:
+            best = max(best, sum(demand[n] * p for n, p in zip(names, y)) / top)
+    assert cover.bound <= cover.value + 1e-9
+    assert best <= cover.value * (1 + 1e-9)
+    assert cover.value <= max(best, cover.bound) * 1.06
+
+
+def test_most_sequences_come_from_the_rounded_cover():
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(256, rng.geometric(1 / 70, 400_000))
+    counts = np.bincount(lengths, minlength=257)
+    of = packing.grouped(counts, 256)
+    demand = np.bincount(of, weights=np.where(of > 0, counts, 0), minlength=257).astype(np.int64)
+    assert 20 < (demand > 0).sum() <= packing.CLASSES and demand.sum() == counts[256 // packing.LONG_PARTS :].sum()
+    assert all(of[n] >= n for n in np.flatnonzero(of))
+    cover = packing.fractional(demand, 256)
+    assert cover.bound <= cover.value <= 1.05 * cover.bound
+    whole = sum(int(x) for _, x in cover.weights)
+    groups = packing.solve(counts, 256)
+    used = sum(m for _, m in groups)
+    assert whole > 0.9 * used and used <= 1.002 * np.ceil((counts * np.arange(257)).sum() / 256)
+    packed = np.zeros(257, np.int64)
+    for held, many in groups:
+        for n, k in held.items():
+            packed[n] += k * many
+    assert (packed == counts).all()
