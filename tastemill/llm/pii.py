@@ -12,6 +12,8 @@ an at sign; others are not looked for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ ANY = "*"
 CONTEXT = 64
 INSTANCE_CHARS = (5, 64)
 MIN_DIGITS = 4
+# Elements of an array that are worked on as one block.
+SCAN_BLOCK = 512
 MIN_SEEDS = 5
 ROUNDS = 3
 # A pattern under the first value lends nothing; what is added reaches the second.
@@ -58,6 +62,45 @@ def _valid(kind: str, match: Column) -> Column:
     ).otherwise(F.lit(False))
 
 
+def _running(values: Column, first: Column, op: Callable[[Column, Column], Column]) -> Column:
+    start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(
+        values,
+        start,
+        lambda s, x: F.struct(op(s["at"], x).alias("at"), F.array_append(s["all"], s["at"]).alias("all")),
+        lambda s: s["all"],
+    )
+
+
+def before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of integers, ``op`` over 0 and all elements before it.
+
+    An array grows by copying, so the elements are worked on in blocks: first the
+    blocks' totals, then every block from its own start. No array that grows is
+    longer than a block or than the number of blocks.
+    """
+
+    def by_block(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), op))
+        parts = F.arrays_zip(blocks.alias("block"), _running(totals, F.lit(0), op).alias("first"))
+        return F.flatten(F.transform(parts, lambda p: _running(p["block"], p["first"], op)))
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(v) - 1, F.lit(SCAN_BLOCK))
+        return let(F.transform(starts, lambda i: F.slice(v, i + 1, SCAN_BLOCK)), by_block)
+
+    none = F.array().cast("array<int>")
+    return let(values, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(none))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """``(start, stop, found, left)`` of all matches, in code points.
 
@@ -67,25 +110,27 @@ def matches(text: Column, pattern: str) -> Column:
     pairs = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     )
-    empty = F.array().cast("array<struct<start:int,stop:int,found:string,left:string>>")
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        stop = start + F.coalesce(F.length(x["found"]), F.lit(0))
+    def placed(p: Column) -> Column:
+        sizes = F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["found"]), F.lit(0)))
+        return F.arrays_zip(p.alias("pair"), before(sizes, _add).alias("at"))
+
+    def one(x: Column) -> Column:
+        gap, found = x["pair"]["gap"], x["pair"]["found"]
+        start = x["at"] + F.length(gap)
         left = F.regexp_extract(
-            F.regexp_replace(F.substring(x["gap"], -CONTEXT, CONTEXT), r"[^\p{L}\p{N}]++$", ""), r"\S+$", 0
+            F.regexp_replace(F.substring(gap, -CONTEXT, CONTEXT), r"[^\p{L}\p{N}]++$", ""), r"\S+$", 0
         )
-        one = F.struct(
+        return F.struct(
             start.alias("start"),
-            stop.alias("stop"),
-            x["found"].alias("found"),
+            (start + F.length(found)).alias("stop"),
+            found.alias("found"),
             F.regexp_replace(F.lower(left), "[0-9]", "0").alias("left"),
         )
-        more = F.when(x["found"].isNull(), state["all"]).otherwise(F.array_append(state["all"], one))
-        return F.struct(stop.alias("at"), more.alias("all"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("all"))
-    return F.aggregate(pairs, begin, add, lambda s: s["all"])
+    # the last gap has no match behind it
+    found = let(pairs, lambda p: F.filter(placed(p), lambda x: x["pair"]["found"].isNotNull()))
+    return F.transform(found, one)
 
 
 def base_spans(text: Column) -> Column:
@@ -143,31 +188,82 @@ def _trimmed(hits: Column) -> Column:
     )
 
 
-def _touches(spans: Column, s: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+def overlaps(spans: Column, base: Column) -> Column:
+    """``(span, hit)`` of every span: whether it overlaps one of ``base``; one sort, one pass.
 
-
-def candidates(text: Column, base: Column) -> Column:
-    """What could be identifiers beside the base spans: runs of words, and single words.
-
-    ``whole`` is false for a word that is part of a run.
+    It does if, of the base spans that start before its end, one ends behind its
+    start. At one place ends come before starts.
     """
-    free = lambda hits: F.filter(hits, lambda s: ~_touches(base, s))
-
-    def both(runs: Column) -> Column:
-        flagged = lambda hits, whole: F.transform(
-            hits,
-            lambda s: F.struct(
-                s["start"].alias("start"), s["stop"].alias("stop"), s["found"].alias("found"),
-                s["left"].alias("left"), whole(s).alias("whole"),
+    point = lambda at, side, stop, span: F.struct(
+        at.alias("at"), F.lit(side).alias("side"), stop.alias("stop"), span.alias("span")
+    )
+    asked = F.transform(spans, lambda s: point(s["stop"], 0, F.lit(0), s))
+    none = F.get(spans, F.lit(-1))  # a null of the spans' type
+    starts = F.transform(base, lambda b: point(b["start"], 1, b["stop"], none))
+
+    def judged(events: Column) -> Column:
+        reach = before(F.transform(events, lambda e: e["stop"]), _larger)
+        met = F.arrays_zip(events.alias("event"), reach.alias("reach"))
+        return F.transform(
+            F.filter(met, lambda m: m["event"]["side"] == 0),
+            lambda m: F.struct(
+                m["event"]["span"].alias("span"), (m["reach"] > m["event"]["span"]["start"]).alias("hit")
             ),
         )
-        words = free(_trimmed(matches(text, CANDIDATE)))
-        return F.concat(
-            flagged(runs, lambda s: F.lit(True)), flagged(words, lambda s: ~_touches(runs, s))
+
+    alone = F.transform(spans, lambda s: F.struct(s.alias("span"), F.lit(False).alias("hit")))
+    ordered = F.array_sort(F.concat(asked, starts))
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), let(ordered, judged)).otherwise(alone)
+
+
+def apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``."""
+    return F.transform(F.filter(overlaps(spans, base), lambda m: ~m["hit"]), lambda m: m["span"])
+
+
+def outermost(spans: Column) -> Column:
+    """The spans that lie in no larger one, by start; no two spans have both ends in common."""
+    keyed = F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s.alias("span")))
+    )
+
+    def kept(k: Column) -> Column:
+        reach = before(F.transform(k, lambda e: -e["back"]), _larger)
+        met = F.arrays_zip(k.alias("event"), reach.alias("reach"))
+        return F.transform(
+            F.filter(met, lambda m: m["reach"] < -m["event"]["back"]), lambda m: m["event"]["span"]
         )
 
-    return F.when(text.rlike("[0-9@]"), let(free(_trimmed(matches(text, RUN))), both))
+    return let(keyed, kept)
+
+
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``t, base`` with ``words``: what could be identifiers beside the base spans.
+
+    Runs of words, and single words; ``whole`` is false for a word that is part of
+    a run. Step by step, as what a step uses several times is a column of its own.
+    """
+    given = lambda pattern: F.when(
+        F.col("t").rlike("[0-9@]"), _trimmed(matches(F.col("t"), pattern))
+    )
+    named = lambda s, whole: F.struct(
+        s["start"].alias("start"), s["stop"].alias("stop"), s["found"].alias("found"),
+        s["left"].alias("left"), whole.alias("whole"),
+    )
+    return (
+        rows.withColumn("runs", given(RUN)).withColumn("words", given(CANDIDATE))
+        .withColumn("runs", apart(F.col("runs"), F.col("base")))
+        .withColumn("words", apart(F.col("words"), F.col("base")))
+        .withColumn("words", overlaps(F.col("words"), F.col("runs")))
+        .withColumn(
+            "words",
+            F.concat(
+                F.transform("runs", lambda s: named(s, F.lit(True))),
+                F.transform("words", lambda m: named(m["span"], ~m["hit"])),
+            ),
+        )
+        .drop("runs")
+    )
 
 
 def shape(found: Column) -> Column:
@@ -178,10 +274,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document, without its text: what the fixed patterns and words give."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select(F.col("doc_id"), text.alias("t")).select(
-        "doc_id", "t", F.xxhash64("t").alias("text_hash"),
-        let(base_spans(F.col("t")), lambda b: F.struct(b.alias("base"), candidates(F.col("t"), b).alias("words"))).alias("f"),
+        "doc_id", "t", F.xxhash64("t").alias("text_hash"), base_spans(F.col("t")).alias("base")
     )
-    return stored(found.select("doc_id", "text_hash", "f.base", "f.words"), "pii-scan")
+    return stored(with_candidates(found).select("doc_id", "text_hash", "base", "words"), "pii-scan")
 
 
 def discovered(rows: DataFrame) -> DataFrame:
@@ -273,18 +368,12 @@ def all_spans(rows: DataFrame) -> DataFrame:
         "base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
     )
     # a word of a run that was added goes with the run
-    free = F.filter(
-        "added",
-        lambda a: ~_touches(F.col("base"), a)
-        & ~F.exists(
-            "added",
-            lambda b: (b["start"] <= a["start"]) & (b["stop"] >= a["stop"])
-            & (b["stop"] - b["start"] > a["stop"] - a["start"]),
-        ),
+    free = joined.withColumn("added", apart(F.col("added"), F.col("base"))).withColumn(
+        "added", outermost(F.col("added"))
     )
-    return joined.select(
+    return free.select(
         "doc_id", "text_hash", base.alias("base"),
-        F.array_sort(F.concat(base, F.coalesce(free, F.array().cast(SPAN)))).alias("spans"),
+        F.array_sort(F.concat(base, F.coalesce("added", F.array().cast(SPAN)))).alias("spans"),
     )
 
 
@@ -325,19 +414,17 @@ def masked_text(text: Column, spans: Column) -> Column:
 
     def build(wide: Column) -> Column:
         end = F.lit(2**29 - 1)
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+        stops = F.transform(spans, lambda x: x["stop"])
+        last = F.array_max(stops)
 
-        def step(s: Column, x: Column) -> Column:
-            label = F.when(
-                x["start"] >= s["at"], F.concat(piece(wide, s["at"], x["start"]), F.get(names, x["kind"]))
+        def label(m: Column) -> Column:
+            x, at = m["span"], m["at"]
+            return F.when(
+                x["start"] >= at, F.concat(piece(wide, at, x["start"]), F.get(names, x["kind"]))
             ).otherwise(F.lit(""))
-            return F.struct(
-                F.greatest(s["at"], x["stop"]).alias("at"), F.array_append(s["parts"], label).alias("parts")
-            )
 
-        return F.aggregate(
-            spans, begin, step, lambda s: F.concat(F.array_join(s["parts"], ""), piece(wide, s["at"], end))
-        )
+        met = F.arrays_zip(spans.alias("span"), before(stops, _larger).alias("at"))
+        return F.concat(F.array_join(F.transform(met, label), ""), piece(wide, last, end))
 
     return F.when(F.size(spans) > 0, let(F.encode(text, "UTF-32"), build)).otherwise(text)
 

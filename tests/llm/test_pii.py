@@ -1,9 +1,14 @@
 import hashlib
+import random
 import re
+import time
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tastemill.llm import pii
 
 KINDS = {
@@ -121,3 +126,42 @@ def test_contexts_of_accepted_instances_are_new_patterns(docs_of, by_id):
     both = [(300 + 2 * i + k, f"{w} {number(i)} now") for i in range(20) for k, w in enumerate(("call", "fax"))]
     got = by_id(pii.report(docs_of(*known, *both, (900, "fax (555) 999-1234 now"))))
     assert got[900]["spans"] == "phone:4:18"
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_running_values_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(pii, "SCAN_BLOCK", block)
+    rng = random.Random(block)
+    rows = [([rng.randint(0, 9) for _ in range(n)],) for n in (0, 1, 2, 3, 7, 40)] + [(None,)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    got = df.select("v", pii.before(F.col("v"), lambda a, b: a + b).alias("s"), pii.before(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m"))
+    for r in got.collect():
+        v = r["v"] or []
+        assert r["s"] == [sum(v[:i]) for i in range(len(v))]
+        assert r["m"] == [max(v[:i], default=0) for i in range(len(v))]
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = random.Random(5)
+    span = lambda: (lambda a: (a, a + rng.randint(1, 6)))(rng.randint(0, 60))
+    rows = [(sorted({span() for _ in range(rng.randint(0, 12))}), sorted({span() for _ in range(rng.randint(0, 8))})) for _ in range(60)]
+    kind = "array<struct<start:int,stop:int>>"
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+    for r in df.select("a", "b", pii.apart(F.col("a"), F.col("b")).alias("free"), pii.outermost(F.col("a")).alias("outer")).collect():
+        a, b = ([tuple(x) for x in r[c]] for c in ("a", "b"))
+        assert sorted(map(tuple, r["free"])) == [s for s in a if not any(x[0] < s[1] and s[0] < x[1] for x in b)]
+        assert [tuple(x) for x in r["outer"]] == [
+            s for s in a if not any(x != s and x[0] <= s[0] and x[1] >= s[1] for x in a)
+        ]
+
+
+def test_a_text_of_many_numbers_takes_linear_time(spark, docs_of):
+    numbers = ", ".join(f"10.0.{i % 250}.{i % 199}; {i}7{i}" for i in range(100_000))
+    docs = docs_of((1, numbers), (2, "mail a@b.org"))
+    pii.report(docs_of((3, "a@b.org 10.0.0.1"))).collect()
+    start = time.time()
+    row = pii.report(docs).where("doc_id = 1").first()
+    assert row["n_ip"] == 100_000
+    assert time.time() - start < 40
+    text = pii.redact(docs).where("doc_id = 1").first()["text"]
+    assert text.count("<IP>") == 100_000 and text.endswith("999997" + "99999")
