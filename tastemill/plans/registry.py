@@ -123,6 +123,7 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from tastemill.plans import (  # noqa: F401
+        asset_queries,
         catalog_queries,
         cleaning_queries,
         content_queries,

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tastemill.functions.columns import coerce_double, file_extension, movie_id_from_filename
 from tastemill.operators.quality import missing_headers
+from tastemill.sources.assets import digest_files, list_files, opened
 
 METADATA_FILE, INTERACTIONS_FILE, ASSETS_FOLDER = "metadata.json", "data.csv", "assets"
 
@@ -95,24 +96,19 @@ def metadata_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_assets(spark: SparkSession, folder: str) -> DataFrame:
-    """Recursive file listing; file contents are never read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .drop("content")
-    )
-    path = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    root = "/" + folder.split("://", 1)[-1].strip("/") + "/"
+    """Recursive file listing, empty files included; contents are never read."""
+    listing = list_files(spark, folder)
+    path = F.regexp_replace("full_path", "^/*", "/")
+    root = "/" + opened(folder)[1].strip("/") + "/"
     relative = F.when(
         F.startswith(path, F.lit(root)), F.substr(path, F.lit(len(root) + 1))
     ).otherwise(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    listed = files.select(
-        F.col("path").alias("full_path"),
+    name = F.element_at(F.split("full_path", "/"), -1)
+    listed = listing.select(
+        "full_path",
         relative.alias("relative_path"),
         name.alias("filename"),
-        F.col("length").alias("size_bytes"),
+        "size_bytes",
         "modificationTime",
     )
     parent = F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1)
@@ -125,6 +121,12 @@ def scan_assets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def package_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, MD5 and problem of the two required files, also when empty or missing."""
+    wanted = [(f"{folder}/{name}",) for name in (METADATA_FILE, INTERACTIONS_FILE)]
+    return digest_files(spark.createDataFrame(wanted, "full_path string"))
+
+
 def scan_package(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Whichever of metadata, interactions and assets a folder has."""
     found: dict[str, DataFrame] = {}
