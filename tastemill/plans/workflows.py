@@ -24,13 +24,22 @@ DERIVED = ("movies", "interactions", "user_features", "movie_features", "interac
 
 
 def load_data(spark: SparkSession, package: str, warehouse: str, as_of: str) -> None:
-    """Package folder to cleaned and derived tables."""
+    """Package folder to cleaned and derived tables.
+
+    A package may lack either part: what it has is cleaned and stored, and the
+    tables that need both are derived only when both are there.
+    """
     found = files.scan_package(spark, package)
-    if "metadata" not in found or "interactions" not in found:
-        raise ValueError("a package needs metadata and interactions")
-    movies = clean.clean_metadata(found["metadata"], ["position"]).drop("position")
-    interactions = clean.clean_interactions(found["interactions"], as_of)
-    tables.write_table({"movies": movies, "interactions": interactions}, warehouse)
+    cleaned = {}
+    if "metadata" in found:
+        cleaned["movies"] = clean.clean_metadata(found["metadata"], ["position"]).drop("position")
+    if "interactions" in found:
+        cleaned["interactions"] = clean.clean_interactions(found["interactions"], as_of)
+    if not cleaned:
+        raise ValueError("a package needs metadata or interactions")
+    tables.write_table(cleaned, warehouse)
+    if len(cleaned) < 2:
+        return
     # derived tables start from the written ones, not from the raw files again
     stored = tables.read_table(spark, warehouse, ["movies", "interactions"])
     movies, interactions = stored["movies"], stored["interactions"]
@@ -45,18 +54,15 @@ def load_data(spark: SparkSession, package: str, warehouse: str, as_of: str) ->
 
 
 def train(spark: SparkSession, warehouse: str, trained_at: str, **als) -> None:
-    """Similarity tables, content vectors and factors from the stored tables."""
+    """Content vectors and factors from the stored tables.
+
+    Neighbourhood models keep no table: similarities of the asked users come from
+    the ratings, where storing those of all pairs would be quadratic.
+    """
     stored = tables.read_table(spark, warehouse, DERIVED)
     cells = stored["interaction_matrix"].where(F.col("rating") > 0)
     units = content.content_units(stored["movies"])
-    tables.write_table(
-        {
-            "user_similarity": cf.user_similarity_cosine(cells),
-            "item_similarity": cf.item_similarity_cosine(cells),
-            "content_units": units,
-        },
-        warehouse,
-    )
+    tables.write_table({"content_units": units}, warehouse)
     tables.save_factors(mf.mf_fit(cells, **als), f"{warehouse}/factors", trained_at)
 
 
@@ -69,7 +75,7 @@ def sources(spark: SparkSession, warehouse: str) -> Mapping[str, object]:
     history = stored["interactions"]
     if "interaction_id" not in history.columns:
         natural = [c for c in ("user_id", "movie_id", "timestamp") if c in history.columns]
-        history = history.withColumn("interaction_id", F.xxhash64(*natural).cast("string"))
+        history = history.withColumn("interaction_id", maintenance.natural_key(*natural))
     if "timestamp" not in history.columns:
         history = history.withColumn("timestamp", F.lit(None).cast("timestamp"))
     ratings = content.latest_ratings(history)

@@ -146,6 +146,24 @@ def test_workflow_end_to_end(spark, tmp_path):
     assert spark.read.parquet(f"{store}/recommendations").count() > 0
 
 
+def test_partial_packages(spark, tmp_path):
+    (tmp_path / "data.csv").write_text("user_id,movie_id,rating\nu1,m1,4\n")
+    store = str(tmp_path / "store")
+    workflows.load_data(spark, str(tmp_path), store, "2020-02-01 00:00:00")
+    found = tables.read_table(spark, store, ["movies", *workflows.DERIVED])
+    assert set(found) == {"interactions"} and found["interactions"].count() == 1
+    only = tmp_path / "only"
+    only.mkdir()
+    (only / "metadata.json").write_text(json.dumps(
+        {"movies": [{"movie_id": "m1", "title": "A", "genres": ["War"]}]}))
+    workflows.load_data(spark, str(only), f"{store}2", "2020-02-01 00:00:00")
+    found = tables.read_table(spark, f"{store}2", workflows.DERIVED)
+    assert set(found) == {"movies"} and found["movies"].count() == 1
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="metadata or interactions"):
+        workflows.load_data(spark, str(tmp_path / "none"), store, "2020-02-01 00:00:00")
+
+
 def test_csv_with_doubled_quotes_and_line_breaks(spark, tmp_path):
     text = (
         "user_id,movie_id,rating,timestamp,metadata\n"
