@@ -231,34 +231,36 @@ def top_sql(scored: str, n: int, rank: str = "rank") -> str:
         FROM ({scored})) WHERE {rank} <= {n}"""
 
 
-def user_recommend_sql(name: str, n: int) -> str:
-    """CTEs ending in ``name (user_id, movie_id, score, rank)`` over the event cells."""
+def user_recommend_sql(
+    name: str, n: int, source: str = "v_ecells", universe: str = "v_eitems"
+) -> str:
+    """CTEs ending in ``name (user_id, movie_id, score, rank)`` over rated cells."""
     met = """
         SELECT s.id_a AS user_id, d.movie_id, d.neighbour, s.sim, d.deviation
         FROM us_both s JOIN dev d ON s.id_b = d.neighbour"""
     scored = f"""
         SELECT g.user_id, g.movie_id, CASE WHEN estimate IS NULL THEN user_mean
                ELSE {CLIP.format(x="user_mean + estimate")} END AS score
-        FROM (SELECT mu.user_id, user_mean, i.movie_id FROM mu, v_eitems i) g
+        FROM (SELECT mu.user_id, user_mean, i.movie_id FROM mu, {universe} i) g
         LEFT JOIN est e ON g.user_id = e.user_id AND g.movie_id = e.movie_id
-        WHERE NOT EXISTS (SELECT 1 FROM v_ecells c
+        WHERE NOT EXISTS (SELECT 1 FROM {source} c
                           WHERE c.user_id = g.user_id AND c.movie_id = g.movie_id)"""
     return f"""
-    {user_sql("v_ecells", "v_eitems")},
+    {user_sql(source, universe)},
     est AS ({nearest_sql(met, "deviation")}),
     {name} AS ({top_sql(f"SELECT * FROM ({scored}) WHERE score > 0", n)})"""
 
 
-def item_recommend_sql(name: str, n: int) -> str:
-    met = """
+def item_recommend_sql(name: str, n: int, source: str = "v_ecells") -> str:
+    met = f"""
         SELECT c.user_id, s.id_a AS movie_id, c.movie_id AS neighbour, s.sim, c.rating
-        FROM v_ecells c JOIN ism_both s ON s.id_b = c.movie_id"""
+        FROM {source} c JOIN ism_both s ON s.id_b = c.movie_id"""
     scored = f"""
         SELECT e.user_id, e.movie_id, {CLIP.format(x="estimate")} AS score FROM iest e
-        WHERE estimate > 0 AND NOT EXISTS (SELECT 1 FROM v_ecells c
+        WHERE estimate > 0 AND NOT EXISTS (SELECT 1 FROM {source} c
               WHERE c.user_id = e.user_id AND c.movie_id = e.movie_id)"""
     return f"""
-    {cosine_sql("ism", "v_ecells", "movie_id", "user_id")},
+    {cosine_sql("ism", source, "movie_id", "user_id")},
     iest AS ({nearest_sql(met, "rating")}),
     {name} AS ({top_sql(scored, n)})"""
 
@@ -270,6 +272,15 @@ def shown(recs):
     return recs.select("user_id", "movie_id", r6("score"), F.col("rank").cast("bigint"))
 
 
+# scores that are short decimals end in halves: a nudge rounds them alike in both engines
+NUDGE = 1e-9
+NUDGED = f'user_id, movie_id, round(score + {NUDGE}::DOUBLE, 6) AS score, "rank"'
+
+
+def nudged(recs):
+    return shown(recs.withColumn("score", F.col("score") + F.lit(NUDGE)))
+
+
 @query("user_cf_recommend", f"WITH {user_recommend_sql('r', 10)} SELECT {SHOWN} FROM r")
 def user_cf_recommend(v: Views):
     return shown(cf.user_cf_recommend(event_cells(v), event_items(v)))
@@ -280,6 +291,22 @@ def item_cf_recommend(v: Views):
     return shown(cf.item_cf_recommend(event_cells(v), event_items(v)))
 
 
+@query(
+    "user_cf_recommend_ratings",
+    f"WITH {user_recommend_sql('r', 10, 'v_cells', 'v_items')} SELECT {NUDGED} FROM r",
+)
+def user_cf_recommend_ratings(v: Views):
+    return nudged(cf.user_cf_recommend(cells(v), items(v)))
+
+
+@query(
+    "item_cf_recommend_ratings",
+    f"WITH {item_recommend_sql('r', 10, 'v_cells')} SELECT {NUDGED} FROM r",
+)
+def item_cf_recommend_ratings(v: Views):
+    return nudged(cf.item_cf_recommend(cells(v), items(v)))
+
+
 @query(
     "batch_recommend",
     f"""
