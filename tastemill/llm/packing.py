@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm.common import stored
-from tastemill.llm.tokens import WordEncoder
+from tastemill.llm.tokens import worker_encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -57,7 +57,7 @@ def pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows, number, start, length, crc, place = [], [], [], [], [], []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm.common import open_store, stored
-from tastemill.llm.tokens import WordEncoder
+from tastemill.llm.tokens import worker_encoder
 from tastemill.session import scratch_folder
 
 MAGIC = b"TMDAC1\0\0"
@@ -135,7 +135,7 @@ def write_tokens(
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = WordEncoder(path), TaskContext.get()
+        encoder, context = worker_encoder(path), TaskContext.get()
         store, root = open_store(folder)
         part, ids, docs_of, held, number = context.partitionId(), [], [], 0, 0
 

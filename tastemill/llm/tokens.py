@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """One per task; holds the tokenizer and the pieces it has met lately."""
+    """One per worker; holds the tokenizer and the pieces it has met lately."""
 
     def __init__(self, path: str | None = None, cached: int = CACHED_PIECES):
         from tokenizers import Tokenizer
@@ -112,3 +113,13 @@ class WordEncoder:
             for row, n in enumerate(counts.tolist(), low):
                 start, stop = stop, stop + n
                 yield row, np.append(ids[start:stop], np.uint32(end_id))
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str | None = None) -> WordEncoder:
+    """The encoder of this Python worker, kept over its tasks.
+
+    An encoder per task leaves several MB behind each time, which adds up where a
+    worker runs many small tasks.
+    """
+    return WordEncoder(path)
