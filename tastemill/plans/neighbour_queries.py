@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tastemill.operators import cf, matrix, mf
+from tastemill.operators import cf, matrix, mf, similarity_join
 from tastemill.plans.registry import query
 from tastemill.plans.shared import r6
 from tastemill.session import materialise
@@ -117,6 +117,36 @@ def item_similarity_cosine(v: Views):
     return cf.item_similarity_cosine(cells(v)).withColumn("sim", r6("sim"))
 
 
+# thresholds of the similarity joins; order lines overlap little, so most pairs lie below
+USERS_ALIKE, ITEMS_ALIKE = 0.15, 0.15
+
+
+def above_sql(row: str, key: str, threshold: float) -> str:
+    """Classes of proportional rows, and their pairs with a cosine of at least the threshold."""
+    return f"""
+    WITH scaled AS (SELECT {row} AS id, {key} AS k, rating,
+                           rating / max(rating) OVER (PARTITION BY {row}) AS x FROM v_cells),
+    marks AS (SELECT id, list((k, x) ORDER BY k) AS direction FROM scaled GROUP BY id),
+    classes AS (SELECT min(id) AS id, count(*) AS members FROM marks GROUP BY direction),
+    units AS (SELECT id, k, rating / sqrt(sum(rating * rating) OVER (PARTITION BY id)) AS x
+              FROM scaled SEMI JOIN classes USING (id)),
+    sims AS (SELECT a.id AS id_a, b.id AS id_b, round(sum(a.x * b.x), 9) AS sim
+             FROM units a JOIN units b ON a.k = b.k AND a.id < b.id GROUP BY a.id, b.id)
+    SELECT id_a, id_b, sim, a.members AS members_a, b.members AS members_b
+    FROM sims JOIN classes a ON a.id = id_a JOIN classes b ON b.id = id_b
+    WHERE sim >= {threshold}::DOUBLE"""
+
+
+@query("user_similarity_above", above_sql("user_id", "movie_id", USERS_ALIKE))
+def user_similarity_above(v: Views):
+    return similarity_join.similar_above(cells(v), "user_id", "movie_id", USERS_ALIKE)
+
+
+@query("item_similarity_above", above_sql("movie_id", "user_id", ITEMS_ALIKE))
+def item_similarity_above(v: Views):
+    return similarity_join.similar_above(cells(v), "movie_id", "user_id", ITEMS_ALIKE)
+
+
 @query(
     "user_similarity_pearson",
     """
