@@ -12,6 +12,7 @@ from tastemill.session import scratch_folder
 from tastemill.sources import files, tables
 from tastemill.sources.views import AS_OF_EVENTS, Views
 from tastemill.streaming import jobs
+from tastemill.streaming.log import read_log
 
 
 @query(
@@ -273,6 +274,7 @@ def apply_feedback(v: Views):
 
 
 STREAM_SLICES = 3
+MERGED_BATCHES = 2  # so that the few batches here make a run
 
 
 def event_stream(v: Views, in_order: bool = False):
@@ -339,8 +341,9 @@ def stream_interactions(v: Views):
 )
 def stream_user_statistics(v: Views):
     path = scratch_folder(v.spark, "stream")
-    finished(jobs.stream_user_statistics(event_stream(v), f"{path}/log", f"{path}/checkpoint"))
-    out = jobs.statistics_from_log(v.spark.read.parquet(f"{path}/log"))
+    finished(jobs.stream_user_statistics(
+        event_stream(v), f"{path}/log", f"{path}/checkpoint", fanout=MERGED_BATCHES))
+    out = jobs.statistics_from_log(read_log(v.spark, f"{path}/log", jobs.NEWEST_COUNTS, MERGED_BATCHES))
     return out.withColumn("average_rating", r6("average_rating"))
 
 
@@ -362,8 +365,9 @@ def user_profile_running(v: Views):
 @query("stream_user_profile", PROFILE_SQL)
 def stream_user_profile(v: Views):
     path = scratch_folder(v.spark, "stream")
-    finished(jobs.stream_user_profile(event_stream(v, in_order=True), f"{path}/log", f"{path}/checkpoint"))
-    out = jobs.newest_profiles(v.spark.read.parquet(f"{path}/log"))
+    finished(jobs.stream_user_profile(
+        event_stream(v, in_order=True), f"{path}/log", f"{path}/checkpoint", fanout=MERGED_BATCHES))
+    out = jobs.newest_profiles(read_log(v.spark, f"{path}/log", jobs.NEWEST_PROFILE, MERGED_BATCHES))
     return out.withColumn("avg_rating", r6("avg_rating"))
 
 
@@ -379,8 +383,9 @@ def windowed_rate(v: Views):
     requests = event_stream(v).select(
         F.col("interaction_id").alias("request_id"), F.col("user_id").alias("client"), "timestamp"
     )
-    finished(jobs.stream_windowed_rate(requests, f"{path}/log", f"{path}/checkpoint", "1 hour"))
-    out = jobs.over_limit(v.spark.read.parquet(f"{path}/log"), 2)
+    finished(jobs.stream_windowed_rate(
+        requests, f"{path}/log", f"{path}/checkpoint", "1 hour", fanout=MERGED_BATCHES))
+    out = jobs.over_limit(read_log(v.spark, f"{path}/log", jobs.SUMMED_REQUESTS, MERGED_BATCHES), 2)
     return out.withColumn("window_start", moment("window_start"))
 
 

@@ -5,30 +5,47 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tastemill.operators.quality import interaction_rules, split_valid
+from tastemill.streaming.log import FANOUT, Merge, batch_folder, compact, exists, newest, summed
 
 # Fixed values --------------------------------------------------------------
 RATE_LIMIT, RATE_WINDOW = 100, "60 seconds"
 # ---------------------------------------------------------------------------
 
 
-def _batch_folder(folder: str, batch_id: int) -> str:
-    """One directory per micro-batch: replaying a batch overwrites its own output."""
-    return f"{folder}/batch_id={batch_id}"
+# how rows of several batches become one per key
+NEWEST_COUNTS = newest("user_id", "movie_id")
+NEWEST_PROFILE = newest("user_id")
+SUMMED_REQUESTS = summed("requests", "client", "window_start")
 
 
-def _stored_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """Rows that other micro-batches have written; None if there are none yet."""
-    try:
-        return spark.read.parquet(folder).where(F.col("batch_id") != batch_id)
-    except AnalysisException:
+def _stored_before(
+    spark: SparkSession, folder: str, batch_id: int, days: list[str]
+) -> DataFrame | None:
+    """``(interaction_id, day)`` that other micro-batches have written for these days.
+
+    Only the folders of the days are read, however long the history is; None if
+    nothing is stored yet.
+    """
+    if not exists(spark, folder):
         return None
+    stored = spark.read.schema("interaction_id string, day string, batch_id long").parquet(folder)
+    return stored.where((F.col("batch_id") != batch_id) & F.col("day").isin(days)).drop("batch_id")
+
+
+def _logged(log: str, merge: Merge, fanout: int):
+    """Store a micro-batch in a log and merge the batches before it."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(log, batch_id))
+        compact(batch.sparkSession, log, batch_id, merge, fanout)
+
+    return store
 
 
 def stream_interactions(
@@ -39,7 +56,7 @@ def stream_interactions(
     Every row ends up in one place: rows that break a rule or have no id in
     quarantine, rows whose id was stored before for the same day are repeats, all
     others, however late, are stored. Good rows are kept by day, so a batch only
-    looks into the days it brings.
+    looks into the days it brings; their list is one short text per calendar day.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -54,24 +71,26 @@ def stream_interactions(
         fresh = ok.withColumn("day", F.coalesce(day, F.lit("none"))).dropDuplicates(
             ["interaction_id", "day"]
         )
-        before = _stored_before(batch.sparkSession, good, batch_id)
-        if before is not None:
-            known = before.select("interaction_id", F.col("day").cast("string").alias("day"))
+        days = [r["day"] for r in fresh.select("day").distinct().collect()]
+        known = _stored_before(batch.sparkSession, good, batch_id, days)
+        if known is not None:
             fresh = fresh.join(known, ["interaction_id", "day"], "left_anti")
-        fresh.write.mode("overwrite").partitionBy("day").parquet(_batch_folder(good, batch_id))
-        broken.write.mode("overwrite").parquet(_batch_folder(quarantine, batch_id))
+        fresh.write.mode("overwrite").partitionBy("day").parquet(batch_folder(good, batch_id))
+        broken.write.mode("overwrite").parquet(batch_folder(quarantine, batch_id))
         checked.unpersist()
 
     return _start(events.writeStream.foreachBatch(store), checkpoint, once)
 
 
 def stream_user_statistics(
-    events: DataFrame, log: str, checkpoint: str, once: bool = True
+    events: DataFrame, log: str, checkpoint: str, once: bool = True, fanout: int = FANOUT
 ) -> StreamingQuery:
     """Keep counts per (user, movie) and log the changed rows of each micro-batch.
 
     Distinct counts stay exact: state holds one small row per pair, not a set
-    per user, so a very active user is spread over many state rows.
+    per user, so a very active user is spread over many state rows. The log is
+    merged as it grows; :func:`tastemill.streaming.log.read_log` with
+    ``NEWEST_COUNTS`` reads one row per pair.
     """
     watched = F.coalesce(F.col("interaction_type") == "watch", F.lit(False))
     per_pair = events.groupBy("user_id", "movie_id").agg(
@@ -81,9 +100,7 @@ def stream_user_statistics(
         F.max(watched).alias("was_watched"),
     )
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(log, batch_id))
-
+    store = _logged(log, NEWEST_COUNTS, fanout)
     writer = per_pair.writeStream.outputMode("update").foreachBatch(store)
     return _start(writer, checkpoint, once)
 
@@ -140,7 +157,8 @@ def _profile_updater(idle_days: int | None):
 
 
 def stream_user_profile(
-    events: DataFrame, log: str, checkpoint: str, once: bool = True, idle_days: int | None = None
+    events: DataFrame, log: str, checkpoint: str, once: bool = True,
+    idle_days: int | None = None, fanout: int = FANOUT,
 ) -> StreamingQuery:
     """Sequential running profile per user, two numbers of state each.
 
@@ -157,9 +175,7 @@ def stream_user_profile(
         _profile_updater(idle_days), PROFILE_SCHEMA, PROFILE_STATE, "update", timeout
     )
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(log, batch_id))
-
+    store = _logged(log, NEWEST_PROFILE, fanout)
     return _start(profiles.writeStream.outputMode("update").foreachBatch(store), checkpoint, once)
 
 
@@ -237,17 +253,19 @@ def windowed_rate_limit(
 
 
 def stream_windowed_rate(
-    requests: DataFrame, log: str, checkpoint: str, window: str = RATE_WINDOW, once: bool = True
+    requests: DataFrame, log: str, checkpoint: str, window: str = RATE_WINDOW,
+    once: bool = True, fanout: int = FANOUT,
 ) -> StreamingQuery:
     """Log the counts of each micro-batch; :func:`over_limit` sums the log.
 
     Batches count on their own, so there is no state to bound and a request is
-    counted however late it comes.
+    counted however late it comes. The log is merged as it grows; read it with
+    ``SUMMED_REQUESTS``.
     """
+    keep = _logged(log, SUMMED_REQUESTS, fanout)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        counts = window_counts(batch, window)
-        counts.write.mode("overwrite").parquet(_batch_folder(log, batch_id))
+        keep(window_counts(batch, window), batch_id)
 
     return _start(requests.writeStream.foreachBatch(store), checkpoint, once)
 
