@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tastemill.functions import products
 from tastemill.functions.products import dot_products, grid_top_k
 
 
@@ -63,3 +64,18 @@ def test_grid_top_k_matches_brute_force(spark, tile):
         )
         want |= {(f"v{i:02d}", o, -s, r + 1) for r, (s, o) in enumerate(ranked[:4])}
     assert {(r.id, r.other_id, r.score, r["rank"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("busy", [5_000, 5])
+def test_pairs_are_formed_after_the_shuffle(spark, monkeypatch, busy):
+    monkeypatch.setattr(products, "BUSY_ROW", busy)
+    m = matrix(3)
+    table = cells(spark, m).unionByName(cells(spark, m[:2]))  # two rows hold their keys twice
+    got = dot_products(table, largest=19)
+    scaled = m * np.where(np.arange(17) < 2, 2, 1)[:, None]
+    found = {(r.id_a, r.id_b): r.dot for r in got.collect()}
+    assert len(found) == got.count() == 17 * 16 // 2
+    for (a, b), d in found.items():
+        assert a < b and d == pytest.approx((scaled @ scaled.T)[int(a[1:]), int(b[1:])])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id_a" in plan and "Generate inline" in plan
