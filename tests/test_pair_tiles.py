@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tastemill.functions import products
 from tastemill.operators import cf, matrix
@@ -34,6 +35,11 @@ def sizes(request, monkeypatch):
         monkeypatch.setattr(pair_tiles, "ROW_WORK", 26)
 
 
+def above_the_pairs(df):
+    """The operators after the tiles; a pair table that is shuffled shows as an exchange."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
 def test_dots_equal_the_join(spark, sizes):
     cells = cells_of(spark)
     for row, key in (("user_id", "movie_id"), ("movie_id", "user_id")):
@@ -43,6 +49,19 @@ def test_dots_equal_the_join(spark, sizes):
         assert rows_of(large) == rows_of(want.where("dot >= 6.0"))
 
 
+def test_pearson_equals_the_join(spark, monkeypatch):
+    """A user that rates all two movies of a universe alike has no spread, hence no correlation."""
+    small = spark.createDataFrame(
+        [("a", "m1", 1.0), ("a", "m2", 1.0), ("b", "m1", 2.0), ("b", "m2", 1.0), ("c", "m2", 4.0)],
+        "user_id string, movie_id string, rating double",
+    )
+    for cells, n in ((cells_of(spark), 30), (small, 2)):
+        got = rows_of(cf.user_similarity_pearson(cells, F.lit(n)))
+        with monkeypatch.context() as m:
+            m.setattr(cf, "DEGREE_LIMIT", 0)
+            assert got == rows_of(cf.user_similarity_pearson(cells, F.lit(n)))
+
+
 def test_predictions_equal_the_joins(spark, sizes, monkeypatch):
     cells = cells_of(spark)
     items = matrix.universe("movie_id", cells)
@@ -57,6 +76,17 @@ def test_predictions_equal_the_joins(spark, sizes, monkeypatch):
             assert got == rows_of(predict(cells, pairs, items))
 
 
+def test_no_pair_is_shuffled(spark):
+    cells = cells_of(spark)
+    for df in (
+        cf.user_similarity_cosine(cells),
+        cf.item_similarity_cosine(cells),
+        cf.user_similarity_pearson(cells, F.lit(30)),
+    ):
+        above = above_the_pairs(df)
+        assert "Join" not in above and "Aggregate" not in above
+
+
 @pytest.mark.parametrize("predict", [cf.user_cf_predict, cf.item_cf_predict])
 def test_predictions_form_no_neighbour_rows_in_a_join(spark, predict):
     cells = cells_of(spark)
@@ -66,4 +96,5 @@ def test_predictions_form_no_neighbour_rows_in_a_join(spark, predict):
 
 def test_no_cells(spark):
     cells = cells_of(spark).where("false")
+    assert cf.user_similarity_cosine(cells).isEmpty()
     assert cf.item_cf_predict(cells, cells, matrix.universe("movie_id", cells)).isEmpty()
