@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastemill.functions import products
-from tastemill.operators import cf, matrix
+from tastemill.operators import cf, matrix, similarity_join
 from tastemill.operators import neighbour_tiles as nt
 from tastemill.operators import pair_tiles
 
@@ -94,6 +94,16 @@ def test_predictions_form_no_neighbour_rows_in_a_join(spark, predict):
     assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("row,key", [("user_id", "movie_id"), ("movie_id", "user_id")])
+def test_a_threshold_joins_no_candidates(spark, monkeypatch, row, key):
+    def refuse(*_):
+        raise AssertionError("the pairs went through the index")
+
+    monkeypatch.setattr(similarity_join, "candidate_pairs", refuse)
+    pairs = similarity_join.similar_above(cells_of(spark), row, key, 0.5)
+    assert pairs.where("sim < 0.5").isEmpty() and not pairs.isEmpty()
+
+
 def test_no_cells(spark):
     cells = cells_of(spark).where("false")
     assert cf.user_similarity_cosine(cells).isEmpty()
