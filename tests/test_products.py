@@ -79,3 +79,27 @@ def test_pairs_are_formed_after_the_shuffle(spark, monkeypatch, busy):
         assert a < b and d == pytest.approx((scaled @ scaled.T)[int(a[1:]), int(b[1:])])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id_a" in plan and "Generate inline" in plan
+
+
+def test_tiles_do_not_grow_with_the_rows():
+    for width in (64, 100):
+        small, large = (products._grid_shape(n, n, width, None) for n in (20_000, 240_000))
+        assert small == large and small[0] * small[1] >= products.GROUPS
+    assert products._grid_shape(10, 1_000_000, 64, None)[0] == 1
+    lt, rt = products._grid_shape(4_000_000, 4_000_000, 64, None)
+    assert 4_000_000 / lt * 64 * 8 <= products.TILE_BYTES and lt == rt
+
+
+def test_columns_are_seen_in_growing_steps(monkeypatch):
+    monkeypatch.setattr(products, "FIRST_COLUMNS", 3)
+    monkeypatch.setattr(products, "COLUMNS", 8)
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 3, (5, 3)).astype(float), rng.integers(0, 3, (40, 3)).astype(float)
+    b[37] = np.nan
+    i, j = np.array([0, 0, 4]), np.array([0, 39, 12])
+    row, col, score = products._block_top_k(a, b, 6, i, j, (0.0, 5.0))
+    want = np.clip(a @ b.T, 0.0, 5.0)
+    want[i, j] = np.nan
+    for r in range(5):
+        best = sorted((-s, c) for c, s in enumerate(want[r]) if not np.isnan(s))[:6]
+        assert list(zip(-score[row == r], col[row == r])) == best
