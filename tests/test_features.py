@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tastemill.operators import content, features
 from tastemill.operators.mf import dot
@@ -130,3 +131,29 @@ def test_latest_ratings_take_the_oldest_of_the_recent(spark, rows):
 def test_dot(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<double>, b array<double>")
     assert df.select(dot("a", "b")).collect()[0][0] == 11.0
+
+
+@pytest.mark.parametrize("ties", [10, 1])
+def test_pairs_of_rare_words_are_not_formed(spark, monkeypatch, ties):
+    monkeypatch.setattr(features, "TIES", ties)
+    rng = np.random.default_rng(12)
+    names = [f"w{i:02d}" for i in range(40)]
+    share = 1 / np.arange(1, 41)
+    texts = [list(rng.choice(names, n, p=share / share.sum())) for n in rng.integers(0, 60, 40)]
+    texts += [["w38", "w39"] * 20, ["w00"], [], ["solo", "solo"]]
+    df = spark.createDataFrame(
+        [(str(i), " ".join(t)) for i, t in enumerate(texts)], "movie_id string, text string"
+    )
+    for size in (1, 7, 30, 5000):
+        counts = {}
+        for t in texts:
+            for term in [*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))]:
+                counts[term] = counts.get(term, 0) + 1
+        want = sorted(counts, key=lambda x: (-counts[x], x))[:size]
+        got = {r.term for r in features.tfidf(df, "text", max_features=size, bigram=True).collect()}
+        assert got == set(want)
+    ids = df.select("movie_id", F.split("text", " ").alias("_words")).where("text <> ''")
+    terms, chosen = features._chosen_terms(ids, "movie_id", 7, True)
+    formed = {r.term for r in terms.select("term").distinct().collect() if " " in r.term}
+    assert ties == 1 or len(formed) <= 7 * 8
+    assert len(chosen) == 7
