@@ -157,3 +157,21 @@ def test_pairs_of_rare_words_are_not_formed(spark, monkeypatch, ties):
     formed = {r.term for r in terms.select("term").distinct().collect() if " " in r.term}
     assert ties == 1 or len(formed) <= 7 * 8
     assert len(chosen) == 7
+
+
+@pytest.mark.parametrize("tile,slots", [(1000, 4096), (4, 2)])
+def test_content_pairs_are_summed_where_tiles_meet(spark, tile, slots):
+    cells = [(f"m{i}", f"f{j}", float(1 + i - j)) for i in range(12) for j in range(6) if (i * 7 + j) % 3 == 0]
+    cells += [("m0", "x", 1.0), ("m1", "x", 2.0), ("lone", "y", 1.0)]
+    units = spark.createDataFrame(cells, "movie_id string, feature string, value double")
+    want = {}
+    for a, f, x in cells:
+        for b, g, y in cells:
+            if f == g and a < b:
+                want[a, b] = want.get((a, b), 0.0) + x * y
+    out = content.content_similarity(units, tile, slots)
+    got = [(r.id_a, r.id_b, r.sim) for r in out.collect()]
+    assert len(got) == len(want) and 0.0 in want.values()  # a sum of zero is a pair as well
+    for a, b, s in got:
+        assert s == pytest.approx(want[a, b], abs=1e-9)
+    assert "hashpartitioning(id_a" not in out._jdf.queryExecution().executedPlan().toString()
