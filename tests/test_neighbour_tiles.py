@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tastemill.operators import cf
 from tastemill.operators import neighbour_tiles as nt
@@ -104,3 +105,55 @@ def test_no_cells(spark):
     cells, items = tables(spark)
     assert cf.user_cf_recommend(cells.where("false"), items, N).count() == 0
     assert cf.item_cf_recommend(cells.where("false"), items, N).count() == 0
+
+
+def test_settled_movies_spare_the_other_neighbours(spark, monkeypatch):
+    """Most movies are settled by the nearest users; rare ones are looked up; ties go by id."""
+    rng = np.random.default_rng(5)
+    rows = [
+        (f"u{u:03}", f"m{m:02}", float(rng.integers(1, 5)))
+        for u in range(150) for m in rng.choice(10, 4, replace=False)
+    ]
+    rows += [("u000", "rare", 3.0), ("u001", "rare", 1.0), ("u002", "rarer", 5.0)]
+    cells = spark.createDataFrame(rows, "user_id string, movie_id string, rating double")
+    items = cells.select("movie_id").distinct()
+    formed = []
+    whole = nt._nearest
+    monkeypatch.setattr(nt, "_nearest", lambda group, *rest: formed.append(len(group)) or whole(group, *rest))
+    data = nt.coded(cells, items)
+    tile_rows = nt._rows_of_tiles(data.cells, nt.user_tiles(data.cells, nt.user_work(data.cells), 1)[0].withColumn(
+        "tile", F.lit(0))).toArrow()
+    tile = nt._Tile(tile_rows)
+    movies = {r.m: r.movie_id for r in data.movies.collect()}
+    users = {r.u: r.user_id for r in data.users.collect()}
+    best = {}
+    for u, m, s in nt._user_based(tile, K, N, data.n_items):
+        best.setdefault(users[tile.users[u]], []).extend(zip(-np.round(s, 9), (movies[x] for x in m), s))
+    got = {
+        (u, o, round(float(s), 7), r + 1) for u, found in best.items() for r, (_, o, s) in enumerate(sorted(found)[:N])
+    }
+    assert got == brute("user", cells, items)
+    assert sum(formed) < 150 * len(rows) / 2  # about all cells per user before
+
+
+@pytest.mark.parametrize("few,block,work", [(0, 300_000, 10**8), (1000, 300_000, 10**8), (1000, 40, 50)])
+def test_few_movies_match_brute_force(spark, monkeypatch, few, block, work):
+    """With cells in the tiles, and with the similarities of all movies in few and in many tiles."""
+    monkeypatch.setattr(nt, "FEW_MOVIES", few)
+    monkeypatch.setattr(nt, "BLOCK_ROWS", block)
+    monkeypatch.setattr(nt, "FEW_WORK", work)
+    cells, items = tables(spark)
+    assert rows_of(cf.item_cf_recommend(cells, items, N, K)) == brute("item", cells, items)
+
+
+def test_few_movies_send_no_cells_of_other_users(spark, monkeypatch):
+    """Tiles used to get the cells of every user they reach: here nearly all of them, in each tile."""
+    rows = [(f"u{u}", f"m{(u + i) % 6}", 1.0 + (u + i) % 4) for u in range(200) for i in (0, 1, 3)]
+    cells = spark.createDataFrame(rows, "user_id string, movie_id string, rating double")
+    data = nt.coded(cells, cells.select("movie_id").distinct())
+    lists = {r.id: list(r.ms) for r in nt.movie_lists(data.cells).collect()}
+    assert sorted(lists) == list(range(6)) and all(m not in ms for m, ms in lists.items())
+    asked = data.users.where("u < 20")
+    scored = nt.few_movies_scores(data, asked, N, K).collect()
+    assert {r.u for r in scored} == set(range(20))
+    assert nt.few_movies_scores(data, data.users.where("false"), N, K).count() == 0
