@@ -171,3 +171,18 @@ def test_batch_limits(spark):
         cf.batch_recommend(lambda u, n: u, users)
     with pytest.raises(ValueError):
         cf.batch_recommend(lambda u, n: u, users.limit(3), 21)
+
+
+def test_unrated_candidates_expand_last(spark):
+    """Whatever the blocks; no row of the result goes through a join or a shuffle."""
+    rows = [(f"u{u}", f"m{m:02}", 1.0) for u in range(5) for m in range(u, 23, u + 1)]
+    cells = spark.createDataFrame(rows, "user_id string, movie_id string, rating double")
+    items = spark.createDataFrame([(f"m{m:02}",) for m in range(23)], "movie_id string")
+    users = spark.createDataFrame([(f"u{u}",) for u in range(7)], "user_id string")
+    rated = {(u, m) for u, m, _ in rows}
+    want = sorted((f"u{u}", f"m{m:02}") for u in range(7) for m in range(23) if (f"u{u}", f"m{m:02}") not in rated)
+    for block in (1, 4, 23, 100):
+        out = matrix.unrated_candidates(users, items, cells, block)
+        assert sorted(tuple(r) for r in out.collect()) == want
+    plan = matrix.unrated_candidates(users, items, cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")
