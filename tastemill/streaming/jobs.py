@@ -11,7 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tastemill.operators.quality import interaction_rules, split_valid
-from tastemill.streaming.log import FANOUT, Merge, batch_folder, compact, exists, newest, summed
+from tastemill.streaming.log import (
+    FANOUT,
+    Merge,
+    batch_folder,
+    compact,
+    exists,
+    newest,
+    read_before,
+    summed,
+)
 
 # Fixed values --------------------------------------------------------------
 RATE_LIMIT, RATE_WINDOW = 100, "60 seconds"
@@ -35,7 +44,7 @@ def _stored_before(
     if not exists(spark, folder):
         return None
     stored = spark.read.schema("interaction_id string, day string, batch_id long").parquet(folder)
-    return stored.where((F.col("batch_id") != batch_id) & F.col("day").isin(days)).drop("batch_id")
+    return stored.where(F.col("day").isin(days) & (F.col("batch_id") != batch_id)).drop("batch_id")
 
 
 def _logged(log: str, merge: Merge, fanout: int):
@@ -134,7 +143,7 @@ def fold_profile(count: int, average: float, ratings: Iterator[float | None]) ->
     return count, average
 
 
-def _profile_updater(idle_days: int | None):
+def _profile_updater(idle_days: int):
     def update(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
@@ -147,8 +156,7 @@ def _profile_updater(idle_days: int | None):
         rows = rows.sort_values(["timestamp", "interaction_id"])
         count, average = fold_profile(count, average, rows["rating"].tolist())
         state.update((count, average))
-        if idle_days is not None:
-            state.setTimeoutDuration(idle_days * 24 * 3600 * 1000)
+        state.setTimeoutDuration(idle_days * 24 * 3600 * 1000)
         yield pd.DataFrame(
             {"user_id": [key[0]], "interaction_count": [count], "avg_rating": [average]}
         )
@@ -156,6 +164,36 @@ def _profile_updater(idle_days: int | None):
     return update
 
 
+def profiles_after(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``(user_id, interaction_count, avg_rating)`` of a batch's users, who go on from ``before``.
+
+    :func:`fold_profile` in built-in expressions, over a user's rows in order of time and id,
+    missing ones last.
+    """
+    row = F.struct(
+        F.col("timestamp").isNull(), "timestamp", F.col("interaction_id").isNull(), "interaction_id",
+        F.nanvl(F.col("rating").cast("double"), F.lit(None).cast("double")).alias("rating"),
+    )
+    users = batch.groupBy("user_id").agg(F.sort_array(F.collect_list(row))["rating"].alias("ratings"))
+    count, average = F.lit(0).cast("bigint"), F.lit(0.0)
+    if before is not None:
+        known = before.select(
+            F.col("user_id").alias("known"), F.col("interaction_count").alias("n"), F.col("avg_rating").alias("mean")
+        )
+        users = users.join(known, F.col("user_id").eqNullSafe(F.col("known")), "left")
+        count, average = F.coalesce("n", count), F.coalesce("mean", average)
+
+    def moved(at: Column, rating: Column) -> Column:
+        n = at["n"] + 1
+        mean = F.when(rating.isNull(), at["mean"]).otherwise((at["mean"] * at["n"] + rating) / n)
+        return F.struct(n.alias("n"), mean.alias("mean"))
+
+    last = F.aggregate("ratings", F.struct(count.alias("n"), average.alias("mean")), moved)
+    return users.select("user_id", last.alias("last")).select(
+        "user_id", F.col("last.n").alias("interaction_count"), F.col("last.mean").alias("avg_rating")
+    )
+
+
 def stream_user_profile(
     events: DataFrame, log: str, checkpoint: str, once: bool = True,
     idle_days: int | None = None, fanout: int = FANOUT,
@@ -163,19 +201,22 @@ def stream_user_profile(
     """Sequential running profile per user, two numbers of state each.
 
     A user's rows of one micro-batch are ordered in memory, so bound the batch at
-    the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). With
-    ``idle_days`` a user idle for longer starts anew; by default state is kept.
+    the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). By default the log is the
+    state: a batch goes on from what the batches before it say, without Python. With
+    ``idle_days`` a user idle for longer starts anew, which takes the state store and its timers.
     """
-    timeout = (
-        GroupStateTimeout.NoTimeout
-        if idle_days is None
-        else GroupStateTimeout.ProcessingTimeTimeout
-    )
+    store = _logged(log, NEWEST_PROFILE, fanout)
+    if idle_days is None:
+
+        def follow(batch: DataFrame, batch_id: int) -> None:
+            before = read_before(batch.sparkSession, log, batch_id, NEWEST_PROFILE, fanout)
+            store(profiles_after(batch, before), batch_id)
+
+        return _start(events.writeStream.foreachBatch(follow), checkpoint, once)
     profiles = events.groupBy("user_id").applyInPandasWithState(
-        _profile_updater(idle_days), PROFILE_SCHEMA, PROFILE_STATE, "update", timeout
+        _profile_updater(idle_days), PROFILE_SCHEMA, PROFILE_STATE, "update",
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
-
-    store = _logged(log, NEWEST_PROFILE, fanout)
     return _start(profiles.writeStream.outputMode("update").foreachBatch(store), checkpoint, once)
 
 

@@ -129,6 +129,19 @@ def read_log(spark: SparkSession, log: str, merge: Merge, fanout: int = FANOUT)
     return merge(_read(spark, log, parts))
 
 
+def read_before(
+    spark: SparkSession, log: str, batch_id: int, merge: Merge, fanout: int = FANOUT
+) -> DataFrame | None:
+    """One row per key over the batches before one, which may be replayed; None without any."""
+    batches, runs = contents(spark, log)
+    parts = cover(
+        [n for n in batches if n < batch_id],
+        [(level, first) for level, first in runs if first + fanout**level <= batch_id],
+        fanout,
+    )
+    return merge(_read(spark, log, parts)).drop("batch_id") if parts else None
+
+
 def compact(
     spark: SparkSession, log: str, batch_id: int, merge: Merge, fanout: int = FANOUT
 ) -> None:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastemill.operators import catalog
-from tastemill.streaming import jobs
+from tastemill.streaming import jobs, log
 
 SCHEMA = (
     "interaction_id string, user_id string, movie_id string, interaction_type string,"
@@ -85,6 +85,29 @@ def test_profiles_equal_sequential_fold(spark, feed):
         assert batch[user] == (30, pytest.approx(jobs.fold_profile(0, 0.0, ratings)[1]))
 
 
+def test_profiles_go_on_from_the_log(spark, feed):
+    """No Python state per user; batches, a missing id or time, and a NaN rating fold as before."""
+    events, stream, folder = feed
+    query = jobs.stream_user_profile(stream, f"{folder}/log", f"{folder}/c", fanout=2)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"] == []
+    read = log.read_before(spark, f"{folder}/log", 2, jobs.NEWEST_PROFILE, 2)
+    assert sum(r.interaction_count for r in read.collect()) < events.count()  # a replay goes on from the batches before
+    assert log.read_before(spark, f"{folder}/log", 0, jobs.NEWEST_PROFILE, 2) is None
+    rows = [
+        ("u", "2", 20, 1.5), ("u", "1", 20, 4.0), ("u", None, 20, 3.0), ("u", "0", None, 2.0),
+        ("u", "9", 5, float("nan")), ("u", "8", 6, None), (None, "7", 1, 2.0), ("new", "6", 1, None),
+    ]
+    batch = spark.createDataFrame(rows, "user_id string, interaction_id string, s long, rating double").withColumn(
+        "timestamp", F.timestamp_seconds("s"))
+    before = spark.createDataFrame([("u", 2, 3.0), (None, 1, 4.0)], jobs.PROFILE_SCHEMA)
+    got = {r.user_id: (r.interaction_count, r.avg_rating) for r in jobs.profiles_after(batch, before).collect()}
+    assert got == {
+        "u": jobs.fold_profile(2, 3.0, [None, None, 4.0, 1.5, 3.0, 2.0]),
+        None: jobs.fold_profile(1, 4.0, [2.0]), "new": (1, 0.0),
+    }
+
+
 def test_fold_moves_on_rated_only():
     assert jobs.fold_profile(0, 0.0, [4.0, None, 1.0]) == (3, (4.0 * 2 + 1.0) / 3)
 
