@@ -49,6 +49,21 @@ def test_dots_equal_the_join(spark, sizes):
         assert rows_of(large) == rows_of(want.where("dot >= 6.0"))
 
 
+@pytest.mark.parametrize("block", [5, 1_500_000])
+def test_whole_rows_meet_in_few_tiles(spark, monkeypatch, block):
+    """A row got the list of each of its keys; now a cell is sent once per tile, whoever it is met by."""
+    assert pair_tiles._grid_tiles(36_000_000, 12) == 9 and pair_tiles._grid_tiles(216_000_000, 12) == 14
+    monkeypatch.setattr(pair_tiles, "BLOCK_WORK", block)
+    monkeypatch.setattr(pair_tiles, "TILE_CELLS", 30)
+    again = cells_of(spark).where("user_id in ('u1', 'u2')")  # rows that hold keys twice
+    cells = cells_of(spark).unionByName(again).withColumn("own", F.length("user_id") + F.lit(0.5))
+    for least in (None, 6.0):
+        got = pair_tiles.row_dots(cells, "user_id", "movie_id", least=least, carry="own")
+        want = products.dot_products(cells).where(F.lit(least is None) | (F.col("dot") >= (least or 0)))
+        want = want.select("*", (F.length("id_a") + 0.5).alias("a"), (F.length("id_b") + 0.5).alias("b"))
+        assert rows_of(got) == rows_of(want) and got.count() == want.count()
+
+
 def test_pearson_equals_the_join(spark, monkeypatch):
     """A user that rates all two movies of a universe alike has no spread, hence no correlation."""
     small = spark.createDataFrame(
