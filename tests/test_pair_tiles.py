@@ -91,6 +91,19 @@ def test_predictions_equal_the_joins(spark, sizes, monkeypatch):
             assert got == rows_of(predict(cells, pairs, items))
 
 
+@pytest.mark.parametrize("predict", [cf.user_cf_predict, cf.item_cf_predict])
+def test_predictions_of_many_tiles_keep_the_nearest(spark, monkeypatch, predict):
+    """Rows pass the asking ones a few at a time; ties at the fifth place go by id, as in the joins."""
+    rows = [(f"u{u}", f"m{m}", 1.0 + (u * m) % 2) for u in range(14) for m in range(9) if (u + m) % 3]
+    cells = spark.createDataFrame(rows, "user_id string, movie_id string, rating double")
+    items = matrix.universe("movie_id", cells)
+    for name, value in {"LEAST_CELLS": 1, "KEPT_ROWS": 90, "WAITING": 10, "BLOCK_WORK": 60}.items():
+        monkeypatch.setattr(pair_tiles, name, value)
+    got = rows_of(predict(cells, cells, items))
+    monkeypatch.setattr(cf, "DEGREE_LIMIT", 0)
+    assert got == rows_of(predict(cells, cells, items))
+
+
 def test_no_pair_is_shuffled(spark):
     cells = cells_of(spark)
     for df in (
