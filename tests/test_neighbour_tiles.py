@@ -157,3 +157,42 @@ def test_few_movies_send_no_cells_of_other_users(spark, monkeypatch):
     scored = nt.few_movies_scores(data, asked, N, K).collect()
     assert {r.u for r in scored} == set(range(20))
     assert nt.few_movies_scores(data, data.users.where("false"), N, K).count() == 0
+
+
+@pytest.mark.parametrize("high", [5.0, 3.0])
+def test_the_best_movies_are_found_without_scoring_all(spark, monkeypatch, high):
+    """Many movies tie at the best score; few are scored from their raters, ties go by id."""
+    monkeypatch.setattr(nt, "FEW_MOVIES", 0)
+    monkeypatch.setattr(nt, "_search_pays", lambda *_: True)
+    rng = np.random.default_rng(3)
+    rows = [
+        (f"u{u:02}", f"m{m:03}", min(high, float(rng.integers(1, 48)) / 8))
+        for u in range(40) for m in rng.choice(120, 12, replace=False)
+    ] + [("u03", "outside", 5.0), ("u04", "outside", 4.0)]
+    cells = spark.createDataFrame(rows, "user_id string, movie_id string, rating double")
+    items = spark.createDataFrame([(f"m{m:03}",) for m in range(120)], "movie_id string")
+    data = nt.coded(cells, items)
+    movies = {r.m: r.movie_id for r in data.movies.collect()}
+    users = {r.u: r.user_id for r in data.users.collect()}
+    own = data.users.select("u", F.lit(0).cast("bigint").alias("tile"))
+    for method, run, wanted in (("user", nt._user_based, {"best_first": True}), ("item", nt._item_based, {})):
+        tile = nt._Tile(nt._rows_of_all(data.cells, own, 1, bool(wanted)).orderBy("u").toArrow())
+        scored, searched = {}, []
+        whole = nt._best_promised
+        monkeypatch.setattr(nt, "_best_promised", lambda *a: searched.append(whole(*a)) or searched[-1])
+        for u, found, scores in run(tile, K, N, data.n_items, **wanted):
+            scored.setdefault(users[tile.users[u]], []).extend(zip(-np.round(scores, 9), found, scores))
+        monkeypatch.setattr(nt, "_best_promised", whole)
+        got = {
+            (u, movies[o], round(float(x), 7), r + 1)
+            for u, best in scored.items() for r, (_, o, x) in enumerate(sorted(best)[:N])
+        }
+        assert got == brute(method, cells, items)
+        assert sum(x is not None for x in searched) > 30
+
+
+def test_tiles_are_no_more_than_keep_the_cores_busy(spark, monkeypatch):
+    """Every tile is a copy of all cells: their number used to grow with the work."""
+    monkeypatch.setattr(nt, "TILE_WORK", 5)
+    data = nt.coded(*tables(spark))
+    assert nt.user_tiles(data.cells, nt.user_work(data.cells), 2)[1] <= 4
