@@ -95,6 +95,7 @@ def test_predictions_equal_the_joins(spark, sizes, monkeypatch):
 def test_predictions_of_many_tiles_keep_the_nearest(spark, monkeypatch, predict):
     """Rows pass the asking ones a few at a time; ties at the fifth place go by id, as in the joins."""
     rows = [(f"u{u}", f"m{m}", 1.0 + (u * m) % 2) for u in range(14) for m in range(9) if (u + m) % 3]
+    rows += [("u3", None, 4.0), ("u4", None, 2.0), (None, "m2", 3.0)]  # count for lengths and means alone
     cells = spark.createDataFrame(rows, "user_id string, movie_id string, rating double")
     items = matrix.universe("movie_id", cells)
     for name, value in {"LEAST_CELLS": 1, "KEPT_ROWS": 90, "WAITING": 10, "BLOCK_WORK": 60}.items():
